@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm.borda import borda, heads
+from reelspan.llm.leaks import leaks
 from reelspan.llm.runs import runs
+from reelspan.llm.subjects import assign, fit
 from reelspan.llm.topn import top_n
 from reelspan.llm.transducer import with_consistent_text
 from reelspan.session import ship, table
@@ -72,3 +74,25 @@ def p6_consistent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "ocr_records").select("ocr_id", "raw_text", "normalized_text").distinct()
     records = with_consistent_text(records, "raw_text", "normalized_text")
     return records.select("ocr_id", F.col("raw_text_consistent").alias("raw_text"), F.col("normalized_text_consistent").alias("normalized_text"), F.col("raw_text_changed").alias("raw_changed"), F.col("normalized_text_changed").alias("normalized_changed"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return assign(documents, fit(documents, table(spark, sf_dir, "subject_labels")))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("subject_id", "doc_id").distinct()
+
+
+@query
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents have each area."""
+    found = _subjects(spark, sf_dir).select("subject_id", "doc_id").distinct()
+    return found.groupBy("subject_id").agg(F.count("*").alias("n_documents"))
