@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.borda import borda, heads
 from reelspan.llm.leaks import leaks
+from reelspan.llm.packing import pack
 from reelspan.llm.runs import runs
 from reelspan.llm.subjects import assign, fit
 from reelspan.llm.topn import top_n
@@ -96,3 +97,9 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents have each area."""
     found = _subjects(spark, sf_dir).select("subject_id", "doc_id").distinct()
     return found.groupBy("subject_id").agg(F.count("*").alias("n_documents"))
+
+
+@query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every text lies, in containers of 2,048 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
