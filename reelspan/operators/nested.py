@@ -75,13 +75,20 @@ def _named_places(container: Column, prefix: Column) -> Column:
     return F.filter(F.transform(_list(container, "detection_class_names"), one), lambda d: d["label"].isNotNull())
 
 
+def _json(text: Column) -> Column:
+    """A text as a variant; null if it isn't valid JSON from end to end."""
+    # as the one element of a list, so that nothing may follow the value
+    whole = F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(text, "^\\s*\\ufeff+", ""), F.lit("]")))
+    return F.when(F.size(_list(whole)) == 1, F.try_variant_get(whole, "$[0]", "variant"))
+
+
 def parsed(df: DataFrame, payload: str) -> DataFrame:
-    """Add ``root``: the payload as a variant, null if it isn't valid JSON."""
-    bare = F.regexp_replace(F.col(payload), "^\\s*\\ufeff+", "")
-    df = df.withColumn("root", F.try_parse_json(bare))
+    """Add ``root``: the payload as a variant, null if it isn't valid JSON. Of repeated keys the last counts."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    df = df.withColumn("root", _json(F.col(payload)))
     for _ in range(4):
-        inner = F.when(F.schema_of_variant("root") == "STRING", F.try_parse_json(F.regexp_replace(F.try_variant_get("root", "$", "string"), "^\\s*\\ufeff+", ""))).otherwise(F.col("root"))
-        df = df.withColumn("root", inner)
+        text = F.schema_of_variant("root") == "STRING"
+        df = df.withColumn("root", F.when(text, _json(F.try_variant_get("root", "$", "string"))).otherwise(F.col("root")))
     return df
 
 
