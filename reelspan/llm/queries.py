@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.borda import borda, heads
 from reelspan.llm.leaks import leaks
+from reelspan.llm.neighbours import nearest
 from reelspan.llm.packing import pack
 from reelspan.llm.runs import runs
 from reelspan.llm.subjects import assign, fit
@@ -103,3 +104,15 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every text lies, in containers of 2,048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(table(spark, sf_dir, "index_vectors"))
+    return found.select(F.least("index_row", "neighbour").alias("row_a"), F.greatest("index_row", "neighbour").alias("row_b")).distinct()
+
+
+@query
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five neighbours of every index row, with similarity and rank."""
+    return nearest(table(spark, sf_dir, "index_vectors"))
