@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.plans import evaluation_plans, nested_plans, retrieval_plans
+from reelspan.plans import audit_plans, evaluation_plans, nested_plans, retrieval_plans, text_plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (nested_plans, retrieval_plans, evaluation_plans):
+for _module in (nested_plans, retrieval_plans, evaluation_plans, text_plans, audit_plans):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)
