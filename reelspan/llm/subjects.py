@@ -98,7 +98,7 @@ def fit(
     fit_documents: int = 3_000,
     least_documents: int = 4,
     least_sentences: int = 5,
-    least_confidence: float = 0.5,
+    least_gain: float = 0.5,
     basket_items: int = 4,
 ) -> Rules:
     """Mine, prune and calibrate the rules."""
@@ -112,11 +112,16 @@ def fit(
         return Rules([])
     prior = {r[0]: r[1] for r in chosen.select(F.explode("areas").alias("a")).groupBy("a").count().collect()}
     areas = sorted(prior)
+    marked_documents = chosen.count()
+    share = [prior[a] / marked_documents for a in areas]
+    # half of what there is to gain over guessing by the labels alone
+    least = [s + (1 - s) * least_gain for s in share]
+    bound = F.create_map(*[F.lit(x) for pair in zip(areas, least, strict=True) for x in pair])
     # items that tell nothing apart don't enter the mining: their areas are those of all labels
     per = sentences.select("d", "areas", F.explode("items").alias("item")).dropDuplicates(["d", "item"])
     seen = per.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least_documents)
-    with_area = per.select("item", F.explode("areas").alias("a")).groupBy("item", "a").agg(F.count("*").alias("k")).groupBy("item").agg(F.max("k").alias("k"))
-    telling = seen.join(with_area, "item").where(F.col("k") >= least_confidence * F.col("n")).select("item")
+    with_area = per.select("item", F.explode("areas").alias("a")).groupBy("item", "a").agg(F.count("*").alias("k"))
+    telling = seen.join(with_area, "item").where(F.col("k") >= bound[F.col("a")] * F.col("n")).select("item").distinct()
     kept = sentences.withColumn("s", F.monotonically_increasing_id()).select("s", "areas", F.posexplode("items").alias("pos", "item")).join(telling, "item")
     row = kept.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("pos", "item"))).getField("item").alias("items"), F.first("areas").alias("areas"))
     # neighbouring items only: a basket of a whole sentence would have each subset of its items mined
@@ -126,12 +131,11 @@ def fit(
     size = baskets.count()
     if not size:
         return Rules(areas)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_sentences / size), minConfidence=least_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_sentences / size), minConfidence=min(least)).fit(baskets)
     raw = model.associationRules.where(F.col("consequent")[0].startswith("\x02") & ~F.exists("antecedent", lambda i: i.startswith("\x02"))).select("antecedent", "consequent", "confidence", "support").collect()
     names = {"\x02" + str(a): k for k, a in enumerate(areas)}
     mined = [(tuple(sorted(r[0])), names[r[1][0]], float(r[2]), float(r[3]) * size) for r in raw]
-    share = [prior[a] / sum(prior.values()) for a in areas]
-    return _calibrated(mined, areas, share)
+    return _calibrated([r for r in mined if r[2] >= least[r[1]]], areas, share)
 
 
 def _calibrated(mined: list[tuple[tuple[str, ...], int, float, float]], areas: list[object], share: list[float]) -> Rules:
@@ -141,12 +145,13 @@ def _calibrated(mined: list[tuple[tuple[str, ...], int, float, float]], areas: l
     rules = Rules(areas)
     for items, where, confidence, both in mined:
         support = both / confidence
-        smooth = (both + 2 * share[where]) / (support + 2)
+        smooth = min(0.999, (both + 2 * share[where]) / (support + 2))
         general = [best[(sub, where)] for n in range(1, len(items)) for sub in _subsets(items, n) if (sub, where) in best]
         if general and max(general) >= smooth - 0.05:
             continue
         best[(items, where)] = smooth
-        gain = math.log(smooth / (1 - smooth)) - math.log(share[where] / (1 - share[where]))
+        base = min(share[where], 0.99)
+        gain = math.log(smooth / (1 - smooth)) - math.log(base / (1 - base))
         if gain > 0:
             rules.evidence.setdefault(items, []).append((where, gain))
     return rules
