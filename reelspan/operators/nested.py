@@ -24,8 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.session import has_rows
-
 # The fields of the layouts.
 LISTS = ("detections", "objects", "results")
 KIDS = ("parts", "children")
@@ -33,6 +31,7 @@ NAMES = ("category", "label", "class_name", "name", "class_id")
 SCORES = ("confidence", "score")
 BOXES = ("box", "bbox")
 
+_PLACE = "struct<det_path:string,label:string,node:variant>"
 _DETECTION = "struct<det_path:string,parent_path:string,label:string,score:double,box:variant,node:variant>"
 
 
@@ -53,24 +52,31 @@ def _detection(path: Column, parent: Column, label: Column, score: Column, box:
     ).cast(_DETECTION)
 
 
-def _objects(items: Column, prefix: Column, parent: Column) -> Column:
-    """Detections of layout (b): the objects of a list that say what they are."""
+def _objects(items: Column, prefix: Column, parent: Column, slim: bool) -> Column:
+    """Detections of layout (b): the objects of a list that say what they are. ``slim``: only their places."""
 
     def one(item: Column, place: Column) -> Column:
+        path, label = F.concat(prefix, place.cast("string")), F.coalesce(*[_text(item, n) for n in NAMES])
+        if slim:
+            return F.struct(path.alias("det_path"), label.alias("label"), item.alias("node")).cast(_PLACE)
         score = F.coalesce(*[F.try_variant_get(item, f"$.{s}", "string") for s in SCORES]).try_cast("double")
         box = F.coalesce(*[F.try_variant_get(item, f"$.{b}", "variant") for b in BOXES])
-        return _detection(F.concat(prefix, place.cast("string")), parent, F.coalesce(*[_text(item, n) for n in NAMES]), score, box, item)
+        return _detection(path, parent, label, score, box, item)
 
     return F.filter(F.transform(items, one), lambda d: d["label"].isNotNull())
 
 
-def _named_places(container: Column, prefix: Column) -> Column:
+def _named_places(container: Column, prefix: Column, slim: bool) -> Column:
     """Detections of layout (a): the places of parallel lists whose class name isn't blank."""
     scores, boxes = _list(container, "detection_scores"), _list(container, "detection_boxes")
+    no_node = F.lit(None).cast("variant")
 
     def one(name: Column, place: Column) -> Column:
+        path = F.concat(prefix, place.cast("string"))
+        if slim:
+            return F.struct(path.alias("det_path"), _text(name).alias("label"), no_node.alias("node")).cast(_PLACE)
         score = F.try_variant_get(F.get(scores, place), "$", "string").try_cast("double")
-        return _detection(F.concat(prefix, place.cast("string")), F.lit(None).cast("string"), _text(name), score, F.get(boxes, place), F.lit(None).cast("variant"))
+        return _detection(path, F.lit(None).cast("string"), _text(name), score, F.get(boxes, place), no_node)
 
     return F.filter(F.transform(_list(container, "detection_class_names"), one), lambda d: d["label"].isNotNull())
 
@@ -86,9 +92,12 @@ def parsed(df: DataFrame, payload: str) -> DataFrame:
     """Add ``root``: the payload as a variant, null if it isn't valid JSON. Of repeated keys the last counts."""
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = df.withColumn("root", _json(F.col(payload)))
+    # only a payload that begins with a quotation mark can be JSON in a string
+    quoted = F.col(payload).rlike('^[\\s\ufeff]*"')
     for _ in range(4):
-        text = F.schema_of_variant("root") == "STRING"
-        df = df.withColumn("root", F.when(text, _json(F.try_variant_get("root", "$", "string"))).otherwise(F.col("root")))
+        inner = F.try_variant_get("root", "$", "string")
+        text = quoted & F.try_variant_get("root", "$", "array<variant>").isNull() & F.try_variant_get("root", "$", "map<string,variant>").isNull()
+        df = df.withColumn("root", F.when(text, _json(inner)).otherwise(F.col("root")))
     return df
 
 
@@ -98,7 +107,7 @@ def latest_records(df: DataFrame, key: str, payload: str, received: str) -> Data
     return parsed(rows.select("record", F.col("v.r").alias("received"), F.col("v.p").alias("payload")), "payload")
 
 
-def _levels(records: DataFrame, depth: int) -> DataFrame:
+def _levels(records: DataFrame, depth: int, slim: bool = False) -> DataFrame:
     """Add ``level0`` .. ``level<depth>``: the detections of each depth of nesting."""
     root = F.col("root")
     place = lambda f, i: F.struct(F.concat(i.cast("string"), F.lit(".")).alias("prefix"), f.alias("v"))
@@ -109,28 +118,34 @@ def _levels(records: DataFrame, depth: int) -> DataFrame:
 
     def top(c: Column) -> Column:
         none = F.lit(None).cast("string")
-        found = [_objects(_list(c["v"], name), c["prefix"], none) for name in ("", *LISTS)]
-        return F.concat(_named_places(c["v"], c["prefix"]), *found)
+        found = [_objects(_list(c["v"], name), c["prefix"], none, slim) for name in ("", *LISTS)]
+        return F.concat(_named_places(c["v"], c["prefix"], slim), *found)
 
     records = records.withColumn("level0", F.flatten(F.transform("containers", top)))
     for k in range(1, depth + 1):
 
         def below(d: Column) -> Column:
-            return F.concat(*[_objects(_list(d["node"], name), F.concat(d["det_path"], F.lit(".")), d["det_path"]) for name in KIDS])
+            return F.concat(*[_objects(_list(d["node"], name), F.concat(d["det_path"], F.lit(".")), d["det_path"], slim) for name in KIDS])
 
         records = records.withColumn(f"level{k}", F.flatten(F.transform(f"level{k - 1}", below)))
     return records
 
 
-def unnested(df: DataFrame, key: str = "object_id", payload: str = "payload", received: str = "received_at", depth: int = 4) -> tuple[DataFrame, int]:
+def unnested(df: DataFrame, key: str = "object_id", payload: str = "payload", received: str = "received_at", depth: int = 4, slim: bool = False) -> tuple[DataFrame, int]:
     """The latest records with their detections by depth, and the depth there is.
 
-    ``depth`` is a first guess; it is doubled until no payload nests deeper.
+    ``depth`` is a first guess; it is doubled until no payload nests deeper. Only
+    payloads that name as many lists of sub-detections are looked at for that.
     """
     records = latest_records(df, key, payload, received)
-    while has_rows(_levels(records, depth).where(F.size(f"level{depth}") > 0)):
+    names = F.regexp_count(F.col("payload"), F.lit("(?:" + "|".join(KIDS) + ")[\\\\]*\""))
+    while True:
+        # every level is asked for: were only the last one, the optimizer would fold all of them into one expression
+        deep = _levels(records.where(names >= depth), depth, True)
+        sizes = deep.agg(*[F.max(F.size(f"level{k}")).alias(f"n{k}") for k in range(depth + 1)]).first()
+        if not sizes[f"n{depth}"]:
+            return _levels(records, depth, slim), depth
         depth *= 2
-    return _levels(records, depth), depth
 
 
 def _coordinates(box: Column) -> Column:
@@ -151,7 +166,7 @@ def _coordinates(box: Column) -> Column:
 
 def record_table(df: DataFrame, **names: str) -> DataFrame:
     """record, received, n_detections, n_sub_detections, valid: one row for each record."""
-    records, depth = unnested(df, **names)
+    records, depth = unnested(df, slim=True, **names)
     subs = sum((F.size(f"level{k}") for k in range(1, depth + 1)), F.lit(0))
     return records.select("record", "received", F.coalesce(F.size("level0"), F.lit(0)).cast("long").alias("n_detections"), F.coalesce(subs, F.lit(0)).cast("long").alias("n_sub_detections"), F.col("root").isNotNull().alias("valid"))
 
@@ -177,6 +192,6 @@ def sub_detection_table(df: DataFrame, **names: str) -> DataFrame:
 
 def detection_paths(df: DataFrame, **names: str) -> DataFrame:
     """Distinct (record, det_path) of all detections."""
-    records, depth = unnested(df, **names)
+    records, depth = unnested(df, slim=True, **names)
     paths = F.concat(*[F.transform(f"level{k}", lambda d: F.struct(d["det_path"].alias("det_path"))) for k in range(depth + 1)])
     return records.select("record", F.inline(F.array_distinct(paths)))
