@@ -36,9 +36,9 @@ def postings(records: DataFrame) -> DataFrame:
     return records.select("ocr_id", F.explode(F.array_distinct(tx.token_array(F.col("normal")))).alias("token")).where(F.length("token") >= 2)
 
 
-def _query_tokens(queries: DataFrame) -> DataFrame:
-    wanted = F.filter(F.array_distinct(tx.token_array(F.col("q_normal"))), lambda t: F.length(t) >= 2)
-    return queries.select("query_id", F.size(wanted).alias("n"), F.explode(wanted).alias("token"))
+def _long_tokens(text: str):
+    """Distinct tokens of two characters and more."""
+    return F.filter(F.array_distinct(tx.token_array(F.col(text))), lambda t: F.length(t) >= 2)
 
 
 def _named(queries: DataFrame) -> DataFrame:
@@ -58,7 +58,13 @@ def exact_matches(records: DataFrame, queries: DataFrame, limit: int = 100) -> D
     confident before they are verified.
     """
     q = _named(queries).where(tx.exact_query_allowed(F.col("q_normal"), F.col("q_plain")))
-    by_token = _query_tokens(q).join(postings(records), "token").groupBy("query_id", "ocr_id", "n").agg(F.count("*").alias("c")).where(F.col("c") == F.col("n"))
+    # the postings of a query's rarest token hold every text with all of its tokens
+    posted = postings(records)
+    frequency = posted.groupBy("token").agg(F.count("*").alias("n"))
+    wanted = q.select("query_id", F.explode(_long_tokens("q_normal")).alias("token")).join(frequency, "token", "left")
+    rare = wanted.groupBy("query_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.min(F.col("n").isNotNull()).alias("known")).where("known")
+    near = rare.join(posted, "token").select("query_id", "ocr_id").join(q, "query_id").join(records, "ocr_id")
+    by_token = near.where(F.size(F.array_except(_long_tokens("q_normal"), _long_tokens("normal"))) == 0)
     equal = q.join(records, F.col("q_normal") == F.col("normal")).select("query_id", "ocr_id")
     plain = q.where(tx.folded_exact_allowed(F.col("q_plain"))).join(records, F.col("q_plain") == F.col("plain")).select("query_id", "ocr_id")
     candidates = by_token.select("query_id", "ocr_id").unionByName(equal).unionByName(plain).distinct().join(records, "ocr_id")
@@ -76,17 +82,23 @@ def text_search(records: DataFrame, queries: DataFrame, limit: int = 100, thresh
     ``allowed`` has (query_id, index_row).
     """
     q = _named(queries)
-    by_token = _query_tokens(q).join(postings(records), "token").select("query_id", "ocr_id")
-    plain = q.where(tx.folded_exact_allowed(F.col("q_plain"))).join(records, F.col("q_plain") == F.col("plain")).select("query_id", "ocr_id")
-    found = by_token.unionByName(plain).distinct()
-    # a query with no candidate at all is compared with every reading: a stated, filtered query set
-    lonely = q.join(found.select("query_id").distinct(), "query_id", "left_anti").where(tx.fuzzy_allowed(F.col("q_normal"), F.col("q_plain")))
+    posted = postings(records)
+    wanted = q.select("query_id", F.explode(_long_tokens("q_normal")).alias("token"))
+    folded = q.where(tx.folded_exact_allowed(F.col("q_plain")))
+    plain = folded.join(records, F.col("q_plain") == F.col("plain")).select("query_id", "ocr_id")
+    answered = wanted.join(posted.select("token").distinct(), "token", "left_semi").select("query_id").unionByName(plain.select("query_id")).distinct()
+    # a query with no candidate at all is compared with every (allowed) reading
+    lonely = q.join(answered, "query_id", "left_anti").where(tx.fuzzy_allowed(F.col("q_normal"), F.col("q_plain"))).select("query_id")
     if allowed is None:
-        scanned = records.select("ocr_id").join(F.broadcast(lonely.select("query_id")), how="cross") if _few(lonely) else None
-        pairs = found if scanned is None else found.unionByName(scanned.select("query_id", "ocr_id"))
+        pairs = wanted.join(posted, "token").select("query_id", "ocr_id").unionByName(plain).distinct()
+        if _few(lonely):
+            pairs = pairs.unionByName(records.select("ocr_id").join(F.broadcast(lonely), how="cross").select("query_id", "ocr_id"))
     else:
-        permitted = allowed.join(records.select("ocr_id", "index_row"), "index_row").select("query_id", "ocr_id")
-        pairs = found.join(permitted, ["query_id", "ocr_id"], "left_semi").unionByName(permitted.join(lonely.select("query_id"), "query_id"))
+        # the allowed rows are few; their tokens are compared, the postings aren't opened
+        permitted = allowed.join(records.select("ocr_id", "index_row", "normal", "plain"), "index_row").join(q, "query_id").join(lonely.withColumn("alone", F.lit(True)), "query_id", "left")
+        same = tx.folded_exact_allowed(F.col("q_plain")) & (F.col("q_plain") == F.col("plain"))
+        shared = F.arrays_overlap(_long_tokens("q_normal"), _long_tokens("normal"))
+        pairs = permitted.where(F.coalesce(shared, F.lit(False)) | same | F.col("alone").isNotNull()).select("query_id", "ocr_id")
     judged = _judged(pairs.join(records, "ocr_id").join(q, "query_id"))
     inexact = F.when(~F.col("exact"), F.col("q_normal"))
     like = F.when(F.col("exact"), 1.0).otherwise(tx.similarity_udf(inexact, "normal", "q_plain", "plain"))
