@@ -35,23 +35,28 @@ from reelspan.session import materialise, ship
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def usable(batch: pa.RecordBatch, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of the usable rows of a batch (id, list of float)."""
+def _units(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at length one in double precision, and which can be."""
+    matrix = matrix.astype(np.float64)
+    with np.errstate(invalid="ignore"):
+        good = np.isfinite(matrix).all(axis=1)
+        largest = np.abs(matrix).max(axis=1, initial=0)
+        good &= largest > 0
+        matrix /= np.where(good, largest, 1)[:, None]  # no square can overflow or vanish
+        return matrix / np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None], good
+
+
+def usable(batch: pa.RecordBatch, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, unit vectors and vectors as given of the usable rows of a batch (id, list of float)."""
     ids, lists = batch.column(0), batch.column(1)
     offsets = lists.offsets.to_numpy()
     sizes = offsets[1:] - offsets[:-1]
     fit = (sizes == dimension) & ~lists.is_null().to_numpy(zero_copy_only=False) & ~ids.is_null().to_numpy(zero_copy_only=False)
     values = lists.values.to_numpy(zero_copy_only=False)  # a null is NaN
     rows = np.nonzero(fit)[0]
-    matrix = values[(offsets[:-1][rows][:, None] + np.arange(dimension)[None, :])].astype(np.float64)
-    with np.errstate(invalid="ignore", over="ignore"):
-        norm = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    good = np.isfinite(matrix).all(axis=1) & (norm > 0)
-    big = good & ~np.isfinite(norm)  # squares overflowed
-    if big.any():
-        matrix[big] /= np.abs(matrix[big]).max(axis=1, keepdims=True)
-        norm[big] = np.sqrt(np.einsum("ij,ij->i", matrix[big], matrix[big]))
-    return ids.to_numpy(zero_copy_only=False)[rows[good]].astype(np.int64), matrix[good] / norm[good, None]
+    matrix = values[(offsets[:-1][rows][:, None] + np.arange(dimension)[None, :])]
+    unit, good = _units(matrix)
+    return ids.to_numpy(zero_copy_only=False)[rows[good]].astype(np.int64), unit[good], matrix[good].astype(np.float32)
 
 
 def copy_keys(unit: np.ndarray) -> np.ndarray:
@@ -72,24 +77,30 @@ class Router:
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray) -> None:
         self.weights, self.bias = weights.astype(np.float32), bias.astype(np.float32)
+        squares = (self.weights**2).sum(axis=0)
+        between = squares[:, None] + squares[None, :] - 2 * self.weights.T @ self.weights
+        self.apart = np.sqrt(np.maximum(between, 1e-9))
 
     @property
     def partitions(self) -> int:
         return len(self.bias)
 
-    def route(self, unit: np.ndarray, probes: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The ``probes`` most probable partitions of each vector, best first, and which of them are probable enough."""
+    def route(self, unit: np.ndarray, probes: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ``probes`` partitions to search for each vector, home first, and which of them are near enough.
+
+        The most probable partition is the home. Of the others those count whose
+        border with it, where both are equally probable, is no further than
+        ``reach``: a neighbour of the vector is likely to lie beyond it.
+        """
         logits = unit.astype(np.float32) @ self.weights + self.bias
+        home = logits.argmax(axis=1)
+        away = (logits[np.arange(len(unit)), home][:, None] - logits) / self.apart[home]
+        away[np.arange(len(unit)), home] = -1
         probes = min(probes, self.partitions)
-        top = np.argpartition(-logits, probes - 1, axis=1)[:, :probes] if probes < self.partitions else np.tile(np.arange(self.partitions), (len(unit), 1))
-        picked = np.take_along_axis(logits, top, axis=1)
-        order = np.argsort(-picked, axis=1, kind="stable")
-        top, picked = np.take_along_axis(top, order, axis=1), np.take_along_axis(picked, order, axis=1)
-        share = np.exp(picked - picked[:, :1])
-        share /= share.sum(axis=1, keepdims=True)
-        wanted = share >= least
-        wanted[:, 0] = True
-        return top, wanted
+        top = np.argpartition(away, probes - 1, axis=1)[:, :probes] if probes < self.partitions else np.tile(np.arange(self.partitions), (len(unit), 1))
+        picked = np.take_along_axis(away, top, axis=1)
+        order = np.argsort(picked, axis=1, kind="stable")
+        return np.take_along_axis(top, order, axis=1), np.take_along_axis(picked, order, axis=1) <= reach
 
 
 def balanced_partition(unit: np.ndarray, parts: int, neighbours: int = 8, rounds: int = 6, slack: float = 1.15) -> np.ndarray:
@@ -219,10 +230,10 @@ def nearest(
     least: float = 0.85,
     dimension: int = 64,
     sample_rows: int = 8_192,
-    partition_rows: int = 2_000,
+    partition_rows: int = 4_000,
     most_partitions: int = 1_024,
-    probes: int = 4,
-    least_share: float = 0.02,
+    probes: int = 8,
+    reach: float = 0.06,
 ) -> DataFrame:
     """(row, neighbour, similarity, rank): at most ``k`` neighbours of every row, at least ``least`` similar."""
     spark = vectors.sparkSession
@@ -235,15 +246,14 @@ def nearest(
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, unit = usable(batch, dimension)
+            ids, unit, given = usable(batch, dimension)
             if not len(ids):
                 continue
             keys, first, count, lowest = _entries(ids, unit, keep)
-            unit = unit[first]
-            top, wanted = shared.value.route(unit, probes, least_share)
+            unit, given = unit[first], given[first]
+            top, wanted = shared.value.route(unit, probes, reach)
             # the home entry first, then one for each further partition it is searched for in
             where, nth = np.nonzero(wanted)
-            blob = unit.astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(top[where, nth].astype(np.int32)),
@@ -252,12 +262,12 @@ def nearest(
                     pa.array(keys[where, 1]),
                     pa.array(count[where].astype(np.int64)),
                     pa.array([lowest[w].tolist() if h else [] for w, h in zip(where.tolist(), (nth == 0).tolist(), strict=True)], type=pa.list_(pa.int64())),
-                    pa.array([blob[w].tobytes() for w in where.tolist()], type=pa.binary()),
+                    pa.array([given[w].tobytes() for w in where.tolist()], type=pa.binary()),
                 ],
-                names=["part", "home", "key0", "key1", "n", "rows", "unit"],
+                names=["part", "home", "key0", "key1", "n", "rows", "vector"],
             )
 
-    routed = source.mapInArrow(route, "part int, home boolean, key0 long, key1 long, n long, rows array<long>, unit binary")
+    routed = source.mapInArrow(route, "part int, home boolean, key0 long, key1 long, n long, rows array<long>, vector binary")
 
     found = routed.groupBy("part").applyInArrow(
         lambda group: pa.Table.from_batches(list(_reranked(group, dimension, keep, least)), schema=_FOUND),
@@ -273,7 +283,7 @@ def nearest(
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, unit = usable(batch, dimension)
+            ids, unit, _ = usable(batch, dimension)
             if len(ids):
                 keys = copy_keys(unit)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(ids)], names=["key0", "key1", "a"])
@@ -297,7 +307,7 @@ def _reranked(group: pa.Table, dimension: int, keep: int, least: float) -> Itera
     home = group.column("home").to_numpy()
     keys = np.stack([group.column("key0").to_numpy(), group.column("key1").to_numpy()], axis=1)
     counts = group.column("n").to_numpy()
-    unit = np.frombuffer(b"".join(group.column("unit").to_pylist()), dtype=np.float32).reshape(-1, dimension)
+    unit = np.frombuffer(b"".join(group.column("vector").to_pylist()), dtype=np.float32).reshape(-1, dimension)
     lists = group.column("rows").to_pylist()
     # entries of one key that come from several batches are one
     distinct, first, inverse = np.unique(keys, axis=0, return_index=True, return_inverse=True)
@@ -310,11 +320,10 @@ def _reranked(group: pa.Table, dimension: int, keep: int, least: float) -> Itera
     for k in np.nonzero(home)[0].tolist():
         rows[inverse[k]] += lists[k]
     rows = [sorted(set(r))[:keep] for r in rows]
-    unit = unit[first]
+    exact, _ = _units(unit[first])
+    unit = exact.astype(np.float32)
     base = np.nonzero(at_home)[0]
     entries = unit[base]
-    exact = unit.astype(np.float64)
-    exact /= np.sqrt(np.einsum("ij,ij->i", exact, exact))[:, None]
     flat, owner = [], []
     for low in range(0, len(unit), 1024):
         block = unit[low : low + 1024] @ entries.T
