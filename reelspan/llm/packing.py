@@ -86,15 +86,15 @@ class Windows:
         self.capacity, self.most = capacity, most
         self.room: list[tuple[int, str]] = []
 
-    def place(self, size: int) -> str:
-        """The container of an item of this size."""
+    def place(self, size: int, new: str | None = None) -> str:
+        """The container of an item of this size; ``new`` names it if it must be opened."""
         at = bisect_left(self.room, (size, ""))
         if at < len(self.room):
             left, name = self.room.pop(at)  # best fit: the least room that suffices
         else:
             if len(self.room) >= self.most:
                 self.room.pop(0)  # emit the fullest
-            left, name = self.capacity, uuid.uuid4().hex
+            left, name = self.capacity, new or uuid.uuid4().hex
         if left > size:
             insort(self.room, (left - size, name))
         return name
@@ -167,7 +167,7 @@ def _merged(placed: DataFrame, capacity: int, group: int) -> DataFrame:
         rows.sort(key=lambda row: (-row[0], row[1]))
         windows = Windows(capacity, len(rows) + 1)
         names = [name for _, name in rows]
-        into = [windows.place(fill) for fill, _ in rows]
+        into = [windows.place(fill, name) for fill, name in rows]  # named by its first: the same when run again
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(into, pa.string())], names=["container", "into"])
 
     return fills.repartition(parts, F.xxhash64("container")).mapInArrow(merge, "container string, into string")
