@@ -67,19 +67,19 @@ def event_chains(
     usable = hits.where(F.col("video_id").isNotNull() & F.col("frame").isNotNull() & (F.col("rank") <= depth))
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(e), int(f), int(k), int(r), 1.0 / (rank_constant + int(k))) for e, f, k, r in zip(group.event, group.frame, group["rank"], group.index_row, strict=True)]
-        chain, score = _chain(rows, events, max_gap, penalty, bonus)
-        whole = len(chain) == events
-        key = lambda r: (0 if prefer_final and whole and r[0] == events - 1 else 1, -r[4], r[2], r[3])
-        shown = min(chain, key=key)
-        return pd.DataFrame(
-            {
-                "query_id": [group.query_id.iloc[0]], "video_id": [group.video_id.iloc[0]], "coverage": [len(chain)], "whole": [whole],
-                "score": [round(score + (bonus if whole else 0.0), 9)], "best_rank": [min(r[2] for r in chain)], "shown_row": [shown[3]], "rows": [[r[3] for r in chain]],
-            }
-        )
-
-    found = usable.groupBy("query_id", "video_id").applyInPandas(
+        videos = defaultdict(list)
+        for v, e, f, k, r in zip(group.video_id, group.event.tolist(), group.frame.tolist(), group["rank"].tolist(), group.index_row.tolist(), strict=True):
+            videos[v].append((e, f, k, r, 1.0 / (rank_constant + k)))
+        out = []
+        for video, rows in videos.items():
+            chain, score = _chain(rows, events, max_gap, penalty, bonus)
+            whole = len(chain) == events
+            key = lambda r, whole=whole: (0 if prefer_final and whole and r[0] == events - 1 else 1, -r[4], r[2], r[3])
+            out.append((group.query_id.iloc[0], video, len(chain), whole, round(score + (bonus if whole else 0.0), 9), min(r[2] for r in chain), min(chain, key=key)[3], [r[3] for r in chain]))
+        return pd.DataFrame(out, columns=["query_id", "video_id", "coverage", "whole", "score", "best_rank", "shown_row", "rows"])
+
+    # all videos of a query together: at most four lists of ``depth`` hits
+    found = usable.groupBy("query_id").applyInPandas(
         best, "query_id string, video_id string, coverage long, whole boolean, score double, best_rank long, shown_row long, rows array<long>"
     )
     order = [F.col("whole").desc(), F.col("coverage").desc(), F.col("score").desc(), F.col("best_rank"), F.col("shown_row"), F.col("video_id")]
