@@ -141,6 +141,11 @@ class Transducer:
         """The consistent form."""
         if not text or text.isascii():
             return text
+        out = self._mapped(text)
+        # marks that were left, or came from a half-width form, in canonical order
+        return unicodedata.normalize("NFC", out) if out is not text and _MARK.search(out) else out
+
+    def _mapped(self, text: str) -> str:
         if max(text) > "\uffff":  # beyond the plane that a character class tests fast
             text = text.translate(self.styled)
         if not self._touched.search(text):
