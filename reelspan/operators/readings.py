@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reelspan.functions import similar
 from reelspan.functions import text as tx
 from reelspan.operators.ranking import best_text_matches
-from reelspan.session import ship
+from reelspan.session import materialise, ship
+
+#: So many queries are sent out at once, and their texts may have so many characters.
+BLOCK_QUERIES, BLOCK_CHARS = 20_000, 4_000_000
+#: So many pairs of a query and a text are bounded at once.
+BLOCK_PAIRS = 500_000
 
 EXACT_WEIGHT, FUZZY_WEIGHT, CONFIDENCE_WEIGHT = 0.85, 0.65, 0.15
 
@@ -80,6 +92,11 @@ def text_search(records: DataFrame, queries: DataFrame, limit: int = 100, thresh
     Candidates share a token or the folded text with the query; only where there
     are none, and the query is long enough, all (allowed) readings are compared.
     ``allowed`` has (query_id, index_row).
+
+    Without ``allowed`` the queries are sent out in blocks, and each block meets
+    every distinct text where it lies: pairs whose bound lies below the threshold
+    are left out unseen, the rest are compared. Of equal texts the ``limit`` best
+    rows are kept, no more can be among a query's matches.
     """
     q = _named(queries)
     posted = postings(records)
@@ -90,26 +107,108 @@ def text_search(records: DataFrame, queries: DataFrame, limit: int = 100, thresh
     # a query with no candidate at all is compared with every (allowed) reading
     lonely = q.join(answered, "query_id", "left_anti").where(tx.fuzzy_allowed(F.col("q_normal"), F.col("q_plain"))).select("query_id")
     if allowed is None:
-        pairs = wanted.join(posted, "token").select("query_id", "ocr_id").unionByName(plain).distinct()
-        if _few(lonely):
-            pairs = pairs.unionByName(records.select("ocr_id").join(F.broadcast(lonely), how="cross").select("query_id", "ocr_id"))
-    else:
-        # the allowed rows are few; their tokens are compared, the postings aren't opened
-        permitted = allowed.join(records.select("ocr_id", "index_row", "normal", "plain"), "index_row").join(q, "query_id").join(lonely.withColumn("alone", F.lit(True)), "query_id", "left")
-        same = tx.folded_exact_allowed(F.col("q_plain")) & (F.col("q_plain") == F.col("plain"))
-        shared = F.arrays_overlap(_long_tokens("q_normal"), _long_tokens("normal"))
-        pairs = permitted.where(F.coalesce(shared, F.lit(False)) | same | F.col("alone").isNotNull()).select("query_id", "ocr_id")
+        near = _compared(records, q.join(lonely.withColumn("alone", F.lit(True)), "query_id", "left"), limit, threshold)
+        return _best(near, limit)
+    # the allowed rows are few; their tokens are compared, the postings aren't opened
+    permitted = allowed.join(records.select("ocr_id", "index_row", "normal", "plain"), "index_row").join(q, "query_id").join(lonely.withColumn("alone", F.lit(True)), "query_id", "left")
+    same = tx.folded_exact_allowed(F.col("q_plain")) & (F.col("q_plain") == F.col("plain"))
+    shared = F.arrays_overlap(_long_tokens("q_normal"), _long_tokens("normal"))
+    pairs = permitted.where(F.coalesce(shared, F.lit(False)) | same | F.col("alone").isNotNull()).select("query_id", "ocr_id")
     judged = _judged(pairs.join(records, "ocr_id").join(q, "query_id"))
     inexact = F.when(~F.col("exact"), F.col("q_normal"))
     like = F.when(F.col("exact"), 1.0).otherwise(tx.similarity_udf(inexact, "normal", "q_plain", "plain"))
     near = judged.withColumn("like", like).where(F.col("exact") | (F.col("like") >= threshold))
+    return _best(near, limit)
+
+
+def _best(near: DataFrame, limit: int) -> DataFrame:
     score = F.least(F.lit(1.0), F.when(F.col("exact"), EXACT_WEIGHT).otherwise(FUZZY_WEIGHT) * F.col("like") + CONFIDENCE_WEIGHT * F.col("confidence"))
     return best_text_matches(near.select("query_id", "index_row", F.round(score, 9).alias("score"), "exact", "confidence"), limit)
 
 
-def _few(lonely: DataFrame, most: int = 1_000) -> bool:
-    """Whether there are queries to compare with everything; refuses more than a stated bound."""
-    n = lonely.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries share no token with any text; give `allowed` rows for them")
-    return n > 0
+def _compared(records: DataFrame, queries: DataFrame, limit: int, threshold: float) -> DataFrame:
+    """(query_id, index_row, confidence, exact, like) of the matches among all readings."""
+    spark = records.sparkSession
+    once = records.groupBy("normal", "plain", "index_row").agg(F.max("confidence").alias("confidence"))
+    best = F.row_number().over(Window.partitionBy("normal", "plain").orderBy(F.col("confidence").desc(), "index_row"))
+    kept = once.withColumn("_n", best).where(F.col("_n") <= limit)
+    texts = kept.groupBy("normal", "plain").agg(F.collect_list(F.struct("index_row", "confidence")).alias("rows")).withColumn("tokens", _long_tokens("normal"))
+    # the tables are small and the work is in the pairs: spread over all cores
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    texts = materialise(texts.repartition(parts))
+    asked = queries.select("query_id", "q_normal", "q_plain", _long_tokens("q_normal").alias("tokens"), tx.folded_exact_allowed(F.col("q_plain")).alias("folded"), F.coalesce("alone", F.lit(False)).alias("alone"))
+    kind = f"`query_id` {queries.schema['query_id'].dataType.simpleString()}, exact boolean, like double, rows {texts.schema['rows'].dataType.simpleString()}"
+    found, block, chars = [], [], 0
+    for row in asked.toLocalIterator():
+        block.append(tuple(row))
+        chars += len(row["q_normal"]) + len(row["q_plain"])
+        if len(block) == BLOCK_QUERIES or chars >= BLOCK_CHARS:
+            found.append(_against(texts, block, kind, threshold))
+            block, chars = [], 0
+    if block or not found:
+        found.append(_against(texts, block, kind, threshold))
+    return reduce(DataFrame.unionByName, found).select("query_id", "exact", "like", F.inline("rows"))
+
+
+def _against(texts: DataFrame, block: list[tuple], kind: str, threshold: float) -> DataFrame:
+    """(query_id, exact, like, rows) of the texts that match a query of the block."""
+    spark = texts.sparkSession
+    if not block:
+        return spark.createDataFrame([], kind)
+    block = sorted(block, key=lambda b: len(b[1]))  # queries of like length need the same number of words
+    shared = spark.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        tokens = [frozenset(b[3]) for b in block]
+        asked = [similar.Forms([b[side] for b in block]) for side in (1, 2)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            forms = [similar.Forms(batch.column(k).to_pylist()) for k in (0, 1)]
+            words = batch.column(3).to_pylist()
+            step = max(1, BLOCK_PAIRS // batch.num_rows)
+            for low in range(0, len(block), step):
+                some = block[low : low + step]
+                passed = _passing(some, low, asked, forms, threshold)
+                keys, exact, like, places = [], [], [], []
+                for (q, t), sides in passed.items():
+                    query_id, normal, plain, _, folded, alone = some[q]
+                    n, p = forms[0].texts[t], forms[1].texts[t]
+                    if not (alone or not tokens[low + q].isdisjoint(words[t]) or (folded and plain == p)):
+                        continue
+                    whole = normal in n or (folded and plain in p)
+                    ratio = 1.0 if whole else max((SequenceMatcher(None, *((normal, n), (plain, p))[s]).ratio() for s in sides if s == 0 or min(len(plain), len(p)) >= 6), default=0.0)
+                    if whole or ratio >= threshold:
+                        keys.append(query_id)
+                        exact.append(whole)
+                        like.append(ratio)
+                        places.append(t)
+                if keys:
+                    columns = [pa.array(keys), pa.array(exact), pa.array(like, type=pa.float64()), batch.column(2).take(pa.array(places))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "exact", "like", "rows"])
+
+    return texts.select("normal", "plain", "rows", "tokens").mapInArrow(run, kind)
+
+
+def _passing(some: list[tuple], low: int, asked: list[similar.Forms], forms: list[similar.Forms], threshold: float) -> dict[tuple[int, int], list[int]]:
+    """Pairs (query, text) that may match, with the forms (0 as it is, 1 folded) that may reach the threshold or hold the query.
+
+    A form left out lies below the threshold, so the other one is the greater of a match.
+    """
+    passed: dict[tuple[int, int], list[int]] = {}
+    for side in (0, 1):
+        length = asked[side].length[low : low + len(some)]
+        whole = np.array([side == 0 or bool(b[4]) for b in some])
+        least = 0 if side == 0 else 6  # folded forms are compared from six characters on
+        both = length[:, None] + forms[side].length[None, :]
+        enough = (length >= least)[:, None] & (forms[side].length >= least)[None, :]
+        needed = np.where(enough, threshold * both / 2 - 1e-6, np.inf)
+        needed = np.minimum(needed, np.where(whole, length, np.inf)[:, None])
+        q, t = np.nonzero(similar.shared(asked[side], low, low + len(some), forms[side]) >= needed)
+        if not len(q):
+            continue
+        fits = similar.subsequence([b[1 + side] for b in some], forms[side], q, t) >= needed[q, t]
+        for pair in zip(q[fits].tolist(), t[fits].tolist(), strict=True):
+            passed.setdefault(pair, []).append(side)
+    return passed

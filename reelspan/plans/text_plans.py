@@ -113,11 +113,6 @@ def exact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy search within 500 frames of the query's own reading."""
+    """Fuzzy search of the stated query set in all readings."""
     records = readings.derived(table(spark, sf_dir, "ocr_records"))
-    queries = text_queries(spark, sf_dir)
-    place = lambda step: (F.floor(F.col("frame_id") / 500) + step).alias("block")
-    own = records.select(F.col("ocr_id").cast("string").alias("query_id"), "video_id", F.col("frame_id").alias("at"), F.explode(F.array(*[place(k) for k in (-1, 0, 1)])).alias("block"))
-    own = own.join(queries.select("query_id"), "query_id")
-    near = own.join(records.select("video_id", "index_row", "frame_id", place(0)), ["video_id", "block"]).where(F.abs(F.col("frame_id") - F.col("at")) <= 500)
-    return readings.text_search(records, readings.asked(queries), allowed=near.select("query_id", "index_row").distinct())
+    return readings.text_search(records, readings.asked(text_queries(spark, sf_dir)))
