@@ -10,7 +10,9 @@ characters.
 With n words and a budget of floor(n / one_in), n - budget words stand in at
 most budget + 1 unbroken stretches, so some stretch has at least
 ``ceil((n - budget) / (budget + 1))`` words; for the shortest quotation that is
-the piece length, and it is not less for longer ones.
+the piece length, and it is not less for longer ones. Of the longer ones those
+of ``one_in`` words for each error are tried: any other holds one of them. Each
+budget an item can have has its own filter of hits before verification.
 
 The documents are read once, where they lie; nothing is shuffled but the found
 pairs. The items must be few: they are brought to the driver in blocks of at
@@ -95,8 +97,10 @@ class Pieces:
         every = [x for v in self.values for x in places[int(v)]]
         self.of_item = np.array([i for i, _ in every], dtype=np.int64)
         self.of_place = np.array([p for _, p in every], dtype=np.int64)
+        self.words = np.array([len(t) for _, t in self.items], dtype=np.int64)
+        self.budgets = range(least // one_in, max([least, *self.words.tolist()]) // one_in + 1)
         # all items in one row, apart by more than a look around a piece reaches; -1 matches nothing
-        self.margin = 2 * least + self.least // one_in
+        self.margin = max(self.length(b) + 2 * b for b in self.budgets) + self.size
         self.begin, row = [], [np.full(self.margin, -1, dtype=np.int64)]
         at = self.margin
         for _, tokens in self.items:
@@ -107,6 +111,10 @@ class Pieces:
         self.begin = np.array(self.begin, dtype=np.int64)
         self.bits: dict[tuple[int, int, int], dict[int, int]] = {}
 
+    def length(self, budget: int) -> int:
+        """Words of the shortest quotation with this budget."""
+        return max(self.least, budget * self.one_in)
+
     def _hashes(self, tokens: np.ndarray) -> np.ndarray:
         """A number for each stretch of ``size`` words."""
         count = len(tokens) - self.size + 1
@@ -148,20 +156,24 @@ class Pieces:
         h, d, i = hits[stretch], (hits - place)[stretch], item[stretch]
         follows = np.concatenate([[False], (h[1:] == h[:-1] + 1) & (d[1:] == d[:-1]) & (i[1:] == i[:-1])])
         keep = stretch[~follows]
+        unbroken = self.size - 1 + np.bincount(np.cumsum(~follows) - 1)  # words of the stretch that a hit stands for
         hits, owner, item, place = hits[keep], owner[keep], item[keep], place[keep]
         near: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        budget = self.least // self.one_in
-        for low in range(0, len(hits), 50_000):
-            part = np.arange(low, min(low + 50_000, len(hits)))
-            # close by first: a quotation goes on at one side of the piece at least
-            beside = np.r_[-self.size : 0, self.size : 2 * self.size]
-            close = self._shared(flat, hits[part], item[part], place[part], beside)
-            part = part[close >= self.size - budget]
-            reach = self.least - budget - 1
-            shared = self._shared(flat, hits[part], item[part], place[part], np.arange(-reach, self.size + reach))
-            full = shared >= self.least - budget
-            for k, n in zip(part[full].tolist(), shared[full].tolist(), strict=True):
+        # what the stretches of a text and an item have beyond those too short for a piece
+        _, pair = np.unique(owner * len(self.items) + item, return_inverse=True)
+        beyond = np.bincount(pair, weights=unbroken - self.size + 1)[pair]
+        left = np.arange(len(hits))
+        for budget in self.budgets:
+            length = self.length(budget)
+            left = left[self.words[item[left]] >= length]
+            # the longest stretch of such a quotation has so many words
+            able = unbroken[left] >= -(-(length - budget) // (budget + 1))
+            # and its budget + 1 stretches so many words together
+            able &= beyond[left] >= length - budget - (self.size - 1) * (budget + 1)
+            full, shared = self._near(flat, hits, item, place, left[able], budget)
+            for k, n in zip(full.tolist(), shared.tolist(), strict=True):
                 near[(int(owner[k]), int(item[k]))].append((-n, int(hits[k]), int(place[k])))
+            left = np.setdiff1d(left, full, assume_unique=True)
         found = []
         for (text, item_number), pairs in near.items():
             end = int(ends[text])
@@ -170,9 +182,28 @@ class Pieces:
                 found.append((text, item_number))
         return found
 
-    def _shared(self, flat: np.ndarray, hits: np.ndarray, item: np.ndarray, place: np.ndarray, around: np.ndarray) -> np.ndarray:
+    def _near(self, flat: np.ndarray, hits: np.ndarray, item: np.ndarray, place: np.ndarray, which: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the hits around which a quotation with this budget can lie, and their upper bounds of the matches."""
+        length = self.length(budget)
+        # close by first: a quotation goes on at one side of the piece at least
+        side = min(self.size, -(-(length - self.size) // 2))
+        beside = np.r_[-side:0, self.size : self.size + side]
+        reach = length - self.size + budget
+        wide = np.arange(-reach, self.size + reach)
+        full, counts = [which[:0]], [which[:0]]
+        step = max(1, 1_600_000 // len(wide))
+        for low in range(0, len(which), step):
+            part = which[low : low + step]
+            if side > budget:
+                part = part[self._shared(flat, hits[part], item[part], place[part], beside, budget) >= side - budget]
+            shared = self._shared(flat, hits[part], item[part], place[part], wide, budget)
+            enough = shared >= length - budget
+            full.append(part[enough])
+            counts.append(shared[enough])
+        return np.concatenate(full), np.concatenate(counts)
+
+    def _shared(self, flat: np.ndarray, hits: np.ndarray, item: np.ndarray, place: np.ndarray, around: np.ndarray, budget: int) -> np.ndarray:
         """How many words around each hit stand, shifted by no more than the budget, in the item: an upper bound of the matches."""
-        budget = self.least // self.one_in
         own = flat.take(hits[:, None] + around[None, :], mode="clip")
         base = (self.begin[item] + place)[:, None] + around[None, :]
         same = np.zeros(own.shape, dtype=bool)

@@ -73,6 +73,21 @@ def test_search_against_all_windows():
     assert got == want
 
 
+@pytest.mark.parametrize("budget", [3, 4, 6])
+@pytest.mark.parametrize("added", [True, False])
+def test_longer_quotations_may_have_their_errors_in_one_place(budget, added):
+    half = 4 * budget
+    item = [f"w{k}" for k in range(2 * half + (0 if added else budget))]
+    gap = [f"x{k}" for k in range(budget)] if added else []
+    text = ["zz"] * 3 + item[:half] + gap + item[len(item) - half :] + ["zz"] * 3
+    over = ["zz"] * 3 + item[:half] + [*gap, "yy"] + item[len(item) - half + (0 if added else 1) :] + ["zz"] * 3
+    index = Pieces([(0, "a b"), (1, " ".join(item)), (2, " ".join(f"v{k}" for k in range(90)))], 16, 8)
+    coded = [[index.vocabulary.get(w, 0) for w in t] for t in (text, over)]
+    got = set(index.search(np.array([w for t in coded for w in t]), np.array([len(t) for t in coded])))
+    assert got == {(t, 0) for t, one in enumerate((text, over)) if brute_leak(item, one)}
+    assert (0, 0) in got
+
+
 def test_leaks(spark):
     item = " ".join(f"word{k} số{k}" for k in range(12))
     words = item.split()
