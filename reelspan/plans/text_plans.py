@@ -57,6 +57,17 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("token").agg(F.count("*").alias("n"))
 
 
+# what a token of the operator holds: letters, marks, digits, letter numbers, joiners and connectors but the underscore
+_TOKEN = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\x{200C}\\x{200D}\\x{203F}\\x{2040}\\x{2054}\\x{FE33}\\x{FE34}\\x{FE4D}-\\x{FE4F}\\x{FF3F}\\x{24B6}-\\x{24E9}]+"
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS token FROM documents) GROUP BY 1")
+def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents; every row counts."""
+    tokens = table(spark, sf_dir, "documents").select(F.explode(tx.token_array(F.col("text"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+
+
 def _prompts(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").where(F.col("task") == task).select("item_id", "text")
 
