@@ -122,9 +122,9 @@ def _ranked_in_ranges(rows: DataFrame) -> DataFrame:
 
 
 def heads(ranking: DataFrame, group: str = "query_id", item: str = "hypothesis_id", scores: Sequence[str] = SCORES, share: int = 10) -> DataFrame:
-    """The head of each group's ranking, where every score alone puts it among the best ``1 / share``."""
+    """Of each group the item that every score alone puts among the best ``1 / share``, whatever its rank; of several the best ranked."""
     limit = F.floor(F.col("m") / share)
     sure = F.lit(True)
     for s in scores:
         sure = sure & F.coalesce(F.col(f"{s}_place") <= limit, F.lit(False))
-    return ranking.where((F.col("rank") == 1) & sure).select(group, item)
+    return ranking.where(sure).groupBy(group).agg(F.min_by(item, "rank").alias(item))

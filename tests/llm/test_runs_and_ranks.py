@@ -99,3 +99,12 @@ def test_head_must_be_among_the_best_tenth(spark):
     assert [tuple(r) for r in heads(borda(df)).collect()] == [("q", 19)]
     with pytest.raises(ValueError):
         borda(df, weights={"no": 1.0})
+
+
+def test_the_sure_item_need_not_be_first_by_points(spark):
+    # 0 is first by three scores and just outside the best tenth by the fourth, 1 is second by all
+    rows = [("q", k, float(-k), float(-k), float(-k), -0.5 if k == 2 else -2.5 if k == 0 else float(-k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "query_id string, hypothesis_id long, " + ", ".join(f"{s} double" for s in SCORES))
+    ranking = borda(df)
+    assert ranking.where("rank = 1").collect()[0].hypothesis_id == 0
+    assert [tuple(r) for r in heads(ranking).collect()] == [("q", 1)]
