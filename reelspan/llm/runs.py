@@ -6,9 +6,11 @@ constant along a run.
 
 Canonical value. Neighbouring readings whose folded texts hold the same digits
 and lie within ``2 * max_faults`` edits of each other can both be readings of
-one caption with at most ``max_faults`` faults each; a chain of such neighbours
-votes for its most frequent folded text, and every reading as near to that text
-takes it as its value.
+one caption with at most ``max_faults`` faults each. Folded texts that a chain of
+such neighbours holds several times, and that lie further than ``max_faults`` from
+each other, are its captions; each reading takes the nearest within
+``2 * max_faults`` as its value, since the text held most often can have faults
+itself. Where no text is held twice the greatest stands for those near to it.
 
 Entities with more than ``hot_rows`` readings are cut into ranges of the order
 column at their own quantiles; runs that touch a cut are joined afterwards, at
@@ -76,6 +78,15 @@ def _parts(rows: DataFrame, hot_rows: int, part_rows: int) -> tuple[DataFrame, b
     return marked.withColumn("part", F.coalesce(F.expr("size(filter(cuts, c -> c < at))"), F.lit(0))).drop("cuts"), True
 
 
+def _captions(chained: DataFrame, max_faults: int) -> DataFrame:
+    """(entity, part, chain, captions): of the texts a chain holds several times, most frequent first, those not near to one before."""
+    several = chained.groupBy("entity", "part", "chain", "key").agg(F.count("*").alias("votes")).where(F.col("votes") > 1)
+    ordered = several.groupBy("entity", "part", "chain").agg(F.sort_array(F.collect_list(F.struct("votes", "key")), asc=False).getField("key").alias("keys"))
+    known = lambda kept, key: F.exists(kept, lambda c: F.levenshtein(c, key, max_faults) >= 0)
+    captions = F.aggregate("keys", F.array().cast("array<string>"), lambda kept, key: F.when(known(kept, key), kept).otherwise(F.concat(kept, F.array(key))))
+    return ordered.select("entity", "part", "chain", captions.alias("captions"))
+
+
 def runs(
     df: DataFrame,
     entity: str = "video_id",
@@ -98,19 +109,22 @@ def runs(
     along = Window.partitionBy("entity", "part").orderBy("at")
     rows = rows.withColumn("before", F.lag("key").over(along))
     chained = rows.withColumn("chain", F.sum(F.when(F.coalesce(_same("before", "key", edits), F.lit(False)), 0).otherwise(1)).over(along))
-    votes = F.count("*").over(Window.partitionBy("entity", "part", "chain", "key"))
-    winner = F.max(F.struct("votes", "key")).over(Window.partitionBy("entity", "part", "chain")).getField("key")
-    valued = chained.withColumn("votes", votes).withColumn("winner", winner)
-    valued = valued.withColumn("value", F.when(_same("key", "winner", edits), F.col("winner")).otherwise(F.col("key")))
+    captions = _captions(chained, max_faults)
+    near = F.transform("captions", lambda c, i: F.struct(F.levenshtein(c, F.col("key"), edits).alias("d"), i.alias("i"), c.alias("c")))
+    valued = chained.join(captions, ["entity", "part", "chain"], "left").withColumn("voted", F.array_min(F.filter(near, lambda c: c["d"] >= 0))["c"])
+    winner = F.max("key").over(Window.partitionBy("entity", "part", "chain"))
+    single = F.col("captions").isNull() & _same("key", "winner", edits)
+    valued = valued.withColumn("winner", winner).withColumn("value", F.coalesce("voted", F.when(single, F.col("winner")).otherwise(F.col("key"))))
     # equal differences between the two row numbers are one run
     rank = F.row_number().over(along)
     own = F.row_number().over(Window.partitionBy("entity", "part", "value").orderBy("at"))
     size = F.count("*").over(Window.partitionBy("entity", "part"))
-    numbered = valued.select("entity", "part", "hot", "value", "at", rank.alias("rank"), (rank - own).alias("island"), size.alias("size"))
+    numbered = valued.select("entity", "part", "hot", "value", F.col("voted").isNotNull().alias("voted"), "at", rank.alias("rank"), (rank - own).alias("island"), size.alias("size"))
     pieces = numbered.groupBy("entity", "part", "hot", "value", "island").agg(
         F.count("*").alias("n"),
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
+        F.max("voted").alias("voted"),
         (F.min("rank") == 1).alias("opens"),
         (F.max("rank") == F.max("size")).alias("closes"),
     )
@@ -124,7 +138,8 @@ def runs(
         pieces.where(edge)
         .withColumn("prior", F.lag("value").over(by_entity))
         .withColumn("touches", F.col("opens") & F.lag("closes").over(by_entity))
-        .withColumn("joins", F.coalesce(F.col("touches") & _same("prior", "value", edits), F.lit(False)))
+        .withColumn("firm", F.col("voted") & F.lag("voted").over(by_entity))
+        .withColumn("joins", F.coalesce(F.col("touches") & F.when(F.col("firm"), _same("prior", "value", max_faults)).otherwise(_same("prior", "value", edits)), F.lit(False)))
         .withColumn("run", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(by_entity))
         .groupBy("entity", "run")
         .agg(F.max_by("value", "n").alias("value"), F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))

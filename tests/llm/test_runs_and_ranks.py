@@ -30,6 +30,18 @@ def test_runs(spark):
     assert runs(readings(spark, [])).count() == 0
 
 
+def test_place_names_of_few_letters_are_captions_of_their_own(spark):
+    # three edits apart; the last of each with two faults
+    texts = ["Yên Hải: mưa lớn"] * 3 + ["Yên Hải: mxa lxn"] + ["Lũng Hải: mưa lớn"] * 3 + ["Lũng Hải: mxa lxn"] + ["Yên Hải: mưa lớn"] * 2
+    found = {(r.first_at, r.last_at, r.n) for r in runs(readings(spark, [("v", k, t) for k, t in enumerate(texts)])).collect()}
+    assert found == {(0, 3, 4), (4, 7, 4), (8, 9, 2)}
+    cut = {(r.first_at, r.last_at, r.n) for r in runs(readings(spark, [("v", k, t) for k, t in enumerate(texts)]), hot_rows=8, part_rows=4).collect()}
+    assert cut == found
+    # a text held twice has a fault itself, and the third lies three edits from it
+    texts = ["Hạ Luận: trang nht ký lỗi", "Hạ Lun: tranq nhật ký lỗi", "Hạ Luận: trang nht ký lỗi"]
+    assert [r.n for r in runs(readings(spark, [("v", k, t) for k, t in enumerate(texts)])).collect()] == [3]
+
+
 def test_a_hot_entity_is_cut_and_joined(spark):
     rng = random.Random(5)
     rows, at = [], 0
