@@ -14,7 +14,7 @@ from reelspan.llm.packing import pack
 from reelspan.llm.runs import runs
 from reelspan.llm.subjects import assign, fit
 from reelspan.llm.topn import top_n
-from reelspan.llm.transducer import with_consistent_text
+from reelspan.llm.transducer import touched, with_consistent_text
 from reelspan.session import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,9 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = with_consistent_text(table(spark, sf_dir, "ocr_records").select("ocr_id", "raw_text", "normalized_text"), "raw_text", "normalized_text")
+    records = table(spark, sf_dir, "ocr_records").select("ocr_id", "raw_text", "normalized_text")
+    able = records.where(touched(F.col("raw_text")) | touched(F.col("normalized_text")))  # no other record can need it
+    records = with_consistent_text(able, "raw_text", "normalized_text")
     return records.where(F.col("raw_text_changed") | F.col("normalized_text_changed")).select("ocr_id").distinct()
 
 

@@ -7,7 +7,7 @@ pytest.importorskip("reelspan.llm")
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelspan.llm.transducer import MappingConflict, Transducer, default_transducer, fold, with_consistent_text
+from reelspan.llm.transducer import MappingConflict, Transducer, default_transducer, fold, touched, with_consistent_text
 
 CASES = [
     ("ｃầ­ｕ νượｔ", "cầu vượt"), ("ngưо̛̀i đi xе máy", "người đi xe máy"), ("BÁC SĨ　KHOA", "BÁC SĨ KHOA"), ("ÐÍCH", "ĐÍCH"), (unicodedata.normalize("NFD", "Nguyễn"), "Nguyễn"),
@@ -51,3 +51,45 @@ def test_columns(spark):
     with pytest.raises(ValueError):
         with_consistent_text(df.withColumn("t_changed", df.t), "t")
     assert with_consistent_text(df.limit(0), "t").count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aeouAdiyêớbｅｶﾊб" + "\u0301\u0302\u0323\u031b\u0303\u0306\u0327\uff9e\uff9f"), max_size=10))
+def test_accents_of_every_stack_are_canonical(text):
+    wide = text.translate({0xFF45: "e", 0xFF76: "\u30ab", 0xFF8A: "\u30cf", 0xFF9E: "\u3099", 0xFF9F: "\u309a"})
+    assert default_transducer()(text) == unicodedata.normalize("NFC", wide)
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [("e\u0302\u0323", "ệ"), ("e\u0323\u0302", "ệ"), ("ê\u0323", "ệ"), ("ẹ\u0302", "ệ"), ("ｅ\u0302\u200b\u0323", "ệ"), ("xе\u0302\u0323", "xệ"), ("ｶﾞ", "ガ"), ("o\u031b\u0301", "ớ"), ("𝐞\u0301", "é")],
+)
+def test_a_source_of_several_characters_is_taken_whole(source, want):
+    change = default_transducer()
+    assert change(source) == want
+    # the transitions lead from state to state to one target, and were there before any text
+    if source[0] != "x":
+        fresh = Transducer()
+        state = fresh.begin[source[0]]
+        for char in source[1:].replace("\u200b", ""):
+            state = fresh.after[state][char]
+        assert fresh.latin[state] == want
+
+
+def test_states_made_on_the_way_are_forgotten():
+    change = Transducer()
+    change.LIMIT = len(change.plain) + 5
+    stack = "\u0301\u0302\u0303\u0304\u0306"
+    for letter in "bcdfgh":
+        want = unicodedata.normalize("NFC", letter + stack + "\u0323")
+        assert change(letter + stack + "\u0323") == want
+    assert len(change.plain) <= change.LIMIT + 10
+
+
+def test_the_filter_lets_every_text_that_changes_pass(spark):
+    texts = [t for t, _ in CASES] + KEPT + ["a\u0301", "\u212b x", "x\u00a0y", "\U0001d400", "ок", "ế"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    passed = {r.k for r in df.where(touched(df.t)).collect()}
+    assert {k for k, t in enumerate(texts) if default_transducer().needed(t)} <= passed
+    assert passed == {k for k, t in enumerate(texts) if default_transducer()._touched.search(t)}
+    assert len(texts) - 1 not in passed
