@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from reelspan.llm.leaks import Pieces, leaks, myers, piece_length
 from reelspan.llm.packing import TokenCounter, Windows, pack, vocabulary_path
-from reelspan.llm.subjects import assign, fit
+from reelspan.llm.subjects import Bounds, Growth, Rules, Scorer, assign, fit, sentence_items
 from reelspan.llm.words import Tokens, split_words
 
 DOCS = "doc_id long, text string, item_id long, subject_id string"
@@ -170,3 +170,64 @@ def test_subjects_are_learnt_and_shared_out(spark):
     assert right >= 0.97 * len(truth) and not {500, 501, 502} & set(got)
     assert assign(df, fit(df, marked.limit(0))).count() == 0
     assert assign(df.limit(0), fit(df, marked)).count() == 0
+
+
+def test_growth_finds_every_pair_that_holds():
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(14, size=rng.integers(1, 8), replace=False)) for _ in range(400)]
+    document = rng.integers(0, 150, size=400)
+    of = [[int(a)] if rng.random() < 0.8 else [0, 1] for a in rng.integers(0, 2, size=150)]
+    has = {i: {int(d) for r, d in zip(rows, document) if i in r} for i in range(14)}
+    share = np.array([0.5, 0.5])
+    bounds = Bounds(share, np.array([0.4, 0.4]), 3, 1.0, 1.0)
+    n = np.array([len(has[i]) for i in range(14)])
+    k = np.array([[sum(a in of[d] for d in has[i]) for a in (0, 1)] for i in range(14)])
+    found = set()
+    for group in range(3):  # dealt to groups, the same comes out
+        growth = Growth(rows, document, of, n, k, bounds, 2)
+        found |= {(*sorted(i), a, both, s) for i, a, both, s in growth.of_items(np.arange(group, 14, 3))}
+    want = set()
+    for i in range(14):
+        for j in range(i):
+            docs = {int(d) for r, d in zip(rows, document) if i in r and j in r}
+            if len(docs) < bounds.joint_support or len(docs) in (n[i], n[j]):
+                continue
+            for a in (0, 1):
+                both = np.array([[sum(b in of[d] for d in docs) for b in (0, 1)]])
+                smooth = bounds.smooth(both, np.array([len(docs)]))[0, a]
+                if bounds.holds(both, np.array([len(docs)]), True)[0, a] and smooth > max(bounds.smooth(k, n)[[i, j], a]) + bounds.margin:
+                    want.add((j, i, a, int(both[0, a]), len(docs)))
+    assert found == want and want
+
+
+def test_items_have_every_length():
+    assert sentence_items(["a", "b", "a", "b"]) == ["a", "b", "a b", "b a"]
+
+
+def test_rules_of_several_items_need_all_of_them():
+    rules = Rules(["x", "y"], {("a",): [(0, 1.0)], ("b", "c d"): [(1, 3.0)]})
+    scorer = Scorer(rules)
+    code = lambda text: [1 if w == "." else scorer.number.get(w, 0) for w in text.split()]
+    texts = [code("a b . b c d a . c d"), code("b . c d"), code("c d z b"), []]
+    counts, sums = scorer.shares(np.array(sum(texts, [])), np.array([len(t) for t in texts]))
+    assert counts.tolist() == [[1, 1], [0, 0], [0, 1], [0, 0]] and sums.tolist() == [2, 0, 1, 0]
+
+
+def test_areas_that_only_two_words_together_tell(spark):
+    rng = random.Random(6)
+    docs, labels, truth = [], [], {}
+    for d in range(600):
+        area = d % 2
+        # either word alone stands in texts of both areas; which go together tells the area
+        pairs = [("red", "ball"), ("blue", "court")] if area else [("red", "court"), ("blue", "ball")]
+        a, b = rng.choice(pairs)
+        docs.append((d, f"{a} {rng.choice('pqrs')} {rng.choice('tuvw')} {b}. nothing {rng.choice('xyz')} here"))
+        truth[d] = area + 1
+        if d < 400:
+            labels.append((d, area + 1, "x"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rules = fit(df, spark.createDataFrame(labels, "doc_id long, subject_id long, annotator string"))
+    assert all(len(items) == 2 for items in rules.evidence) and ("ball", "red") in rules.evidence
+    got = {r.doc_id: r.subject_id for r in assign(df, rules).collect()}
+    assert got == truth
+    assert assign(df, fit(df, spark.createDataFrame(labels, "doc_id long, subject_id long, annotator string"), rule_items=1)).count() == 0
