@@ -4,6 +4,12 @@ Method: each event gets a canonical value, and within an entity the difference
 between its row number and its row number among equal canonical values is
 constant along a run.
 
+Readings are dealt to parts of ``part_span`` numbers of the order column. An order
+number has one reading, so no part of an entity holds more than that many,
+however hot the entity. Parts are joined by their first and last readings and
+their counts: chains, votes and both row numbers go on over every cut, so the
+size of the parts changes nothing in the result.
+
 Canonical value. Neighbouring readings whose folded texts hold the same digits
 and lie within ``2 * max_faults`` edits of each other can both be readings of
 one caption with at most ``max_faults`` faults each. Folded texts that a chain of
@@ -12,10 +18,6 @@ each other, are its captions; each reading takes the nearest within
 ``2 * max_faults`` as its value, since the text held most often can have faults
 itself. Where no text is held twice the greatest stands for those near to it.
 
-Entities with more than ``hot_rows`` readings are cut into ranges of the order
-column at their own quantiles; runs that touch a cut are joined afterwards, at
-most two for each range.
-
 Defined results: rows without entity, order or text (null, or nothing but
 spaces and invisible characters) are passed over and don't end a run; repeated
 rows of one (entity, order) count once, the latest received, then the greatest
@@ -31,10 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from reelspan.llm.transducer import fold
-from reelspan.session import has_rows, materialise, ship
-
-#: Parts that one hot entity is cut into, at most.
-MAX_PARTS = 1024
+from reelspan.session import materialise, ship
 
 
 @F.pandas_udf(T.StringType())
@@ -60,31 +59,37 @@ def readings(df: DataFrame, entity: str, order: str, text: str, received: str) -
     )
 
 
-def _parts(rows: DataFrame, hot_rows: int, part_rows: int) -> tuple[DataFrame, bool]:
-    """Add ``part``: 0, or for a hot entity the range of ``at`` the row lies in; and ``hot``. Second, whether anything was cut."""
-    counts = rows.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
-    if not has_rows(counts):
-        return rows.withColumns({"hot": F.lit(False), "part": F.lit(0)}), False
-    rows, counts = materialise(rows), materialise(counts)
-    levels = [i / MAX_PARTS for i in range(1, MAX_PARTS)]
-    cuts = (
-        rows.join(counts, "entity")
-        .groupBy("entity")
-        .agg(F.percentile_approx("at", levels, 10_000).alias("cuts"), F.max("n").alias("n"))
-        .withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(MAX_PARTS) * part_rows / F.col("n"))).cast("int"))
-        .select("entity", F.array_distinct(F.expr("filter(cuts, (c, i) -> i % step = 0)")).alias("cuts"))
-    )
-    marked = rows.join(cuts, "entity", "left").withColumn("hot", F.col("cuts").isNotNull())
-    return marked.withColumn("part", F.coalesce(F.expr("size(filter(cuts, c -> c < at))"), F.lit(0))).drop("cuts"), True
+def _chained(rows: DataFrame, edits: int) -> DataFrame:
+    """Add ``chain``, counted along the whole entity: it goes on where a reading and the one before can show one caption."""
+    along = Window.partitionBy("entity", "part").orderBy("at")
+    before = F.lag("key").over(along)
+    rows = rows.withColumn("before", before).withColumn("new", F.when(F.col("before").isNull(), 0).when(_same("before", "key", edits), 0).otherwise(1))
+    parts = rows.groupBy("entity", "part").agg(F.sum("new").alias("news"), F.min_by("key", "at").alias("head"), F.max_by("key", "at").alias("tail"))
+    by_part = Window.partitionBy("entity").orderBy("part")
+    # between parts: whether the first reading of one goes on with the last of the one before
+    parts = parts.withColumn("last", F.lag("tail").over(by_part)).withColumn("opens", F.when(F.col("last").isNull(), 0).when(_same("last", "head", edits), 0).otherwise(1))
+    first = F.sum("opens").over(by_part.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("news").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("entity", "part", first.alias("first"))
+    within = F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("within", within).join(offsets, ["entity", "part"]).select("entity", "part", "at", "key", (F.col("first") + F.col("within")).alias("chain"))
 
 
 def _captions(chained: DataFrame, max_faults: int) -> DataFrame:
-    """(entity, part, chain, captions): of the texts a chain holds several times, most frequent first, those not near to one before."""
-    several = chained.groupBy("entity", "part", "chain", "key").agg(F.count("*").alias("votes")).where(F.col("votes") > 1)
-    ordered = several.groupBy("entity", "part", "chain").agg(F.sort_array(F.collect_list(F.struct("votes", "key")), asc=False).getField("key").alias("keys"))
+    """(entity, part, chain, captions, winner) for every part a chain lies in.
+
+    ``captions``: of the texts the chain holds several times, most frequent
+    first, those not near to one before. ``winner``: its greatest text. Votes are
+    counted before they are brought together.
+    """
+    held = chained.groupBy("entity", "part", "chain", "key").agg(F.count("*").alias("votes"))
+    votes = held.groupBy("entity", "chain", "key").agg(F.sum("votes").alias("votes"))
+    several = F.collect_list(F.when(F.col("votes") > 1, F.struct("votes", "key")))
+    ordered = votes.groupBy("entity", "chain").agg(F.sort_array(several, asc=False).getField("key").alias("keys"), F.max("key").alias("winner"))
     known = lambda kept, key: F.exists(kept, lambda c: F.levenshtein(c, key, max_faults) >= 0)
     captions = F.aggregate("keys", F.array().cast("array<string>"), lambda kept, key: F.when(known(kept, key), kept).otherwise(F.concat(kept, F.array(key))))
-    return ordered.select("entity", "part", "chain", captions.alias("captions"))
+    of_chains = ordered.select("entity", "chain", captions.alias("captions"), "winner")
+    # a chain may hold a third of all rows: it is given to its parts, then to their rows
+    return held.select("entity", "part", "chain").distinct().join(of_chains, ["entity", "chain"])
 
 
 def runs(
@@ -94,8 +99,7 @@ def runs(
     text: str = "raw_text",
     received: str = "received_at",
     max_faults: int = 2,
-    hot_rows: int = 200_000,
-    part_rows: int = 50_000,
+    part_span: int = 50_000,
 ) -> DataFrame:
     """One row for each run: entity, caption, n, first_at, last_at, duration.
 
@@ -104,45 +108,23 @@ def runs(
     """
     ship(df.sparkSession)
     edits = 2 * max_faults
-    rows, cut = _parts(readings(df, entity, order, text, received), hot_rows, part_rows)
-    rows = rows.withColumn("key", folded("raw")).drop("raw")
-    along = Window.partitionBy("entity", "part").orderBy("at")
-    rows = rows.withColumn("before", F.lag("key").over(along))
-    chained = rows.withColumn("chain", F.sum(F.when(F.coalesce(_same("before", "key", edits), F.lit(False)), 0).otherwise(1)).over(along))
-    captions = _captions(chained, max_faults)
+    rows = readings(df, entity, order, text, received)
+    rows = materialise(rows.select("entity", F.floor(F.col("at") / part_span).alias("part"), "at", folded("raw").alias("key")))
+    chained = materialise(_chained(rows, edits))
     near = F.transform("captions", lambda c, i: F.struct(F.levenshtein(c, F.col("key"), edits).alias("d"), i.alias("i"), c.alias("c")))
-    valued = chained.join(captions, ["entity", "part", "chain"], "left").withColumn("voted", F.array_min(F.filter(near, lambda c: c["d"] >= 0))["c"])
-    winner = F.max("key").over(Window.partitionBy("entity", "part", "chain"))
-    single = F.col("captions").isNull() & _same("key", "winner", edits)
-    valued = valued.withColumn("winner", winner).withColumn("value", F.coalesce("voted", F.when(single, F.col("winner")).otherwise(F.col("key"))))
-    # equal differences between the two row numbers are one run
-    rank = F.row_number().over(along)
+    valued = chained.join(_captions(chained, max_faults), ["entity", "part", "chain"])
+    voted = F.array_min(F.filter(near, lambda c: c["d"] >= 0))["c"]
+    single = (F.size("captions") == 0) & _same("key", "winner", edits)
+    valued = valued.select("entity", "part", "at", F.coalesce(voted, F.when(single, F.col("winner")).otherwise(F.col("key"))).alias("value"))
+    # equal differences between the two row numbers are one run: first within parts, then with what the parts before hold
+    rank = F.row_number().over(Window.partitionBy("entity", "part").orderBy("at"))
     own = F.row_number().over(Window.partitionBy("entity", "part", "value").orderBy("at"))
-    size = F.count("*").over(Window.partitionBy("entity", "part"))
-    numbered = valued.select("entity", "part", "hot", "value", F.col("voted").isNotNull().alias("voted"), "at", rank.alias("rank"), (rank - own).alias("island"), size.alias("size"))
-    pieces = numbered.groupBy("entity", "part", "hot", "value", "island").agg(
-        F.count("*").alias("n"),
-        F.min("at").alias("first_at"),
-        F.max("at").alias("last_at"),
-        F.max("voted").alias("voted"),
-        (F.min("rank") == 1).alias("opens"),
-        (F.max("rank") == F.max("size")).alias("closes"),
-    )
-    found = ["entity", F.col("value").alias("caption"), "n", "first_at", "last_at", (F.col("last_at") - F.col("first_at")).alias("duration")]
-    if not cut:
-        return pieces.select(*found)
-    edge = F.col("hot") & (F.col("opens") | F.col("closes"))
-    inner = pieces.where(~edge)
-    by_entity = Window.partitionBy("entity").orderBy("first_at")
-    joined = (
-        pieces.where(edge)
-        .withColumn("prior", F.lag("value").over(by_entity))
-        .withColumn("touches", F.col("opens") & F.lag("closes").over(by_entity))
-        .withColumn("firm", F.col("voted") & F.lag("voted").over(by_entity))
-        .withColumn("joins", F.coalesce(F.col("touches") & F.when(F.col("firm"), _same("prior", "value", max_faults)).otherwise(_same("prior", "value", edits)), F.lit(False)))
-        .withColumn("run", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(by_entity))
-        .groupBy("entity", "run")
-        .agg(F.max_by("value", "n").alias("value"), F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
-        .drop("run")
-    )
-    return inner.select(*found).unionByName(joined.select(*found))
+    numbered = valued.withColumn("island", rank - own)
+    pieces = numbered.groupBy("entity", "part", "value", "island").agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    shares = pieces.groupBy("entity", "part", "value").agg(F.sum("n").alias("n"))
+    earlier = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    all_before = shares.groupBy("entity", "part").agg(F.sum("n").alias("n")).select("entity", "part", earlier("entity").alias("all"))
+    own_before = shares.select("entity", "part", "value", earlier("entity", "value").alias("own"))
+    whole = pieces.join(own_before, ["entity", "part", "value"]).join(all_before, ["entity", "part"]).withColumn("island", F.col("island") + F.col("all") - F.col("own"))
+    found = whole.groupBy("entity", "value", "island").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    return found.select("entity", F.col("value").alias("caption"), "n", "first_at", "last_at", (F.col("last_at") - F.col("first_at")).alias("duration"))

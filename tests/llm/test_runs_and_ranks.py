@@ -35,24 +35,37 @@ def test_place_names_of_few_letters_are_captions_of_their_own(spark):
     texts = ["Yên Hải: mưa lớn"] * 3 + ["Yên Hải: mxa lxn"] + ["Lũng Hải: mưa lớn"] * 3 + ["Lũng Hải: mxa lxn"] + ["Yên Hải: mưa lớn"] * 2
     found = {(r.first_at, r.last_at, r.n) for r in runs(readings(spark, [("v", k, t) for k, t in enumerate(texts)])).collect()}
     assert found == {(0, 3, 4), (4, 7, 4), (8, 9, 2)}
-    cut = {(r.first_at, r.last_at, r.n) for r in runs(readings(spark, [("v", k, t) for k, t in enumerate(texts)]), hot_rows=8, part_rows=4).collect()}
+    cut = {(r.first_at, r.last_at, r.n) for r in runs(readings(spark, [("v", k, t) for k, t in enumerate(texts)]), part_span=3).collect()}
     assert cut == found
     # a text held twice has a fault itself, and the third lies three edits from it
     texts = ["Hạ Luận: trang nht ký lỗi", "Hạ Lun: tranq nhật ký lỗi", "Hạ Luận: trang nht ký lỗi"]
     assert [r.n for r in runs(readings(spark, [("v", k, t) for k, t in enumerate(texts)])).collect()] == [3]
 
 
-def test_a_hot_entity_is_cut_and_joined(spark):
+def misread(rng, text):
+    """With up to two letters misread, lost or doubled."""
+    letters = list(text)
+    for _ in range(rng.choice([0, 0, 1, 1, 2])):
+        at = rng.randrange(len(letters))
+        if letters[at].isalpha():
+            letters[at] = rng.choice(["", "q", letters[at] * 2])
+    return "".join(letters)
+
+
+def test_the_size_of_the_parts_changes_nothing(spark):
     rng = random.Random(5)
-    rows, at = [], 0
-    for k in range(25):
-        for _ in range(rng.randrange(1, 9)):
+    rows, at = [], -40
+    names = ["Yên Hải", "Lũng Hải", "Hà Nội", "Đà Lạt"]
+    for k in range(40):
+        caption = f"{rng.choice(names)}: mưa lớn trên đường {k // 9}"
+        for _ in range(rng.randrange(1, 14)):
             at += rng.randrange(1, 4)
-            rows.append(("hot", at, f"caption number {k} of many"))
-    rows += ROWS
-    plain = sorted((r.entity, r.first_at, r.last_at, r.n) for r in runs(readings(spark, rows)).collect())
-    cut = sorted((r.entity, r.first_at, r.last_at, r.n) for r in runs(readings(spark, rows), hot_rows=20, part_rows=5).collect())
-    assert plain == cut
+            rows.append(("hot", at, misread(rng, caption)))
+    rows += [("one", k, misread(rng, "the same caption all along")) for k in range(200)] + ROWS
+    df = readings(spark, rows)
+    plain, *cut = [sorted((r.entity, r.caption, r.first_at, r.last_at, r.n) for r in runs(df, part_span=span).collect()) for span in (10**9, 1, 7, 60)]
+    assert all(one == plain for one in cut)
+    assert len([r for r in plain if r[0] == "one"]) == 1 and sum(r[4] for r in plain if r[0] == "hot") == sum(r[0] == "hot" for r in rows)
 
 
 def test_top_n_light_and_heavy_agree_with_sorting(spark):
