@@ -3,8 +3,16 @@
 Method: learned partitions. On a bounded sample the graph of nearest neighbours
 is cut into balanced partitions; a small classifier (multinomial logistic
 regression) learns to tell a vector's partition. Every vector lies in its most
-probable partition and is searched for in the most probable ones, where the
-candidates are reranked by exact cosine.
+probable partition and is searched for in several of the next probable ones:
+those whose border with the home, where the classifier finds both equally
+probable, is no further than ``reach``. The candidates are reranked by exact
+cosine. With ``probes`` as many as there are partitions and an infinite ``reach``
+every vector meets every other: that is the exact way.
+
+No task holds a whole partition: by the sample's share of each partition its
+entries are dealt to blocks of about ``block_rows`` and so are its searches; each
+block of entries meets each block of searches. The blocks change the work of a
+task, never the result.
 
 Copies (also stretched ones) are one entry with a count and its ``k + 1`` lowest
 rows, so a group of copies of any size costs no more than one vector; the rows
@@ -12,7 +20,8 @@ of large groups get the group's neighbours by a join afterwards.
 
 The sample is at most ``sample_rows`` rows, the first in the order of a hash;
 every row is indexed and searched for. Partitions have about ``partition_rows``
-rows each until ``most_partitions`` of them; beyond that they grow.
+rows each until ``most_partitions`` of them; beyond that they grow, and with them
+the number of their blocks.
 
 Defined results: rows whose vector is null, of another length, all zero, or holds
 a null or a number that isn't finite take no part; similarity is the cosine in
@@ -32,6 +41,9 @@ from pyspark.sql import functions as F
 
 from reelspan.session import materialise, ship
 
+#: Members of large groups of copies are dealt to so many parts.
+SALTS = 32
+
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -194,8 +206,8 @@ def fit_router(unit: np.ndarray, parts: int, epochs: int = 40) -> Router:
     return Router(weights, bias)
 
 
-def _sample(vectors: DataFrame, dimension: int, most: int) -> tuple[np.ndarray, int]:
-    """At most ``most`` unit vectors, the first in the order of a hash of the id, copies once; and the number of rows."""
+def _sample(vectors: DataFrame, dimension: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """At most ``most`` unit vectors, the first in the order of a hash of the id: copies once, and all; and the number of rows."""
     total = vectors.count()
     picked = vectors
     if total > most:
@@ -203,10 +215,20 @@ def _sample(vectors: DataFrame, dimension: int, most: int) -> tuple[np.ndarray,
         picked = vectors.where(F.abs(F.xxhash64("id")) < F.lit(min(cut, 2**63 - 1)))
     rows = picked.select("id", F.col("v")).orderBy(F.abs(F.xxhash64("id")), "id").limit(most).toArrow()
     units = [usable(b, dimension)[1] for b in rows.to_batches()]
-    unit = np.concatenate(units) if units else np.empty((0, dimension))
-    if len(unit):
-        unit = unit[np.unique(copy_keys(unit), axis=0, return_index=True)[1]]
-    return unit, total
+    every = np.concatenate(units) if units else np.empty((0, dimension))
+    once = every[np.unique(copy_keys(every), axis=0, return_index=True)[1]] if len(every) else every
+    return once, every, total
+
+
+def blocks(router: Router, sample: np.ndarray, total: int, probes: int, reach: float, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each partition the number of blocks its entries, and its searches, are dealt to, as the sample has it."""
+    entries, searches = np.zeros(router.partitions, np.int64), np.zeros(router.partitions, np.int64)
+    if len(sample):
+        top, wanted = router.route(sample, probes, reach)
+        entries += np.bincount(top[:, 0], minlength=router.partitions)
+        searches += np.bincount(top[wanted], minlength=router.partitions)
+    rows = max(1.0, total / max(1, len(sample)))
+    return tuple(np.maximum(1, np.ceil(x * rows / block_rows)).astype(np.int64) for x in (entries, searches))
 
 
 def _entries(ids: np.ndarray, unit: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -234,14 +256,16 @@ def nearest(
     most_partitions: int = 1_024,
     probes: int = 8,
     reach: float = 0.06,
+    block_rows: int = 20_000,
 ) -> DataFrame:
     """(row, neighbour, similarity, rank): at most ``k`` neighbours of every row, at least ``least`` similar."""
     spark = vectors.sparkSession
     ship(spark)
     source = vectors.select(F.col(row).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    unit, total = _sample(source, dimension, sample_rows)
+    unit, sample, total = _sample(source, dimension, sample_rows)
     router = fit_router(unit, min(most_partitions, max(1, round(total / partition_rows))))
-    shared = spark.sparkContext.broadcast(router)
+    of_entries, of_searches = blocks(router, sample, total, probes, reach, block_rows)
+    shared = spark.sparkContext.broadcast((router, of_entries, of_searches))
     keep = k + 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,25 +275,45 @@ def nearest(
                 continue
             keys, first, count, lowest = _entries(ids, unit, keep)
             unit, given = unit[first], given[first]
-            top, wanted = shared.value.route(unit, probes, reach)
-            # the home entry first, then one for each further partition it is searched for in
+            router, of_entries, of_searches = shared.value
+            top, wanted = router.route(unit, probes, reach)
+            # the home first, then each further partition it is searched for in
             where, nth = np.nonzero(wanted)
+            part, home = top[where, nth], nth == 0
+            mixed = keys[:, 0].view(np.uint64) >> np.uint64(3)
+            own = (mixed % of_entries[top[:, 0]].astype(np.uint64)).astype(np.int64)  # the block of entries it lies in
+            asks = (mixed[where] % of_searches[part].astype(np.uint64)).astype(np.int64)  # the block of searches it asks in
+            # a search meets every block of entries
+            line, entry = _counted(of_entries[part])
+            at_home = home[line] & (entry == own[where[line]])
+            rows = [(where[line], part[line], entry, asks[line], at_home, np.ones(len(line), dtype=bool))]
+            # and an entry every other block of searches
+            mine = np.nonzero(home)[0]
+            line, search = _counted(of_searches[part[mine]])
+            other = search != asks[mine[line]]
+            line, search = mine[line[other]], search[other]
+            rows.append((where[line], part[line], own[where[line]], search, np.ones(len(line), dtype=bool), np.zeros(len(line), dtype=bool)))
+            where, part, entry, search, home, asking = (np.concatenate(x) for x in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(top[where, nth].astype(np.int32)),
-                    pa.array(nth == 0),
+                    pa.array(part.astype(np.int32)),
+                    pa.array(entry.astype(np.int32)),
+                    pa.array(search.astype(np.int32)),
+                    pa.array(home),
+                    pa.array(asking),
                     pa.array(keys[where, 0]),
                     pa.array(keys[where, 1]),
                     pa.array(count[where].astype(np.int64)),
-                    pa.array([lowest[w].tolist() if h else [] for w, h in zip(where.tolist(), (nth == 0).tolist(), strict=True)], type=pa.list_(pa.int64())),
+                    pa.array([lowest[w].tolist() if h else [] for w, h in zip(where.tolist(), home.tolist(), strict=True)], type=pa.list_(pa.int64())),
                     pa.array([given[w].tobytes() for w in where.tolist()], type=pa.binary()),
                 ],
-                names=["part", "home", "key0", "key1", "n", "rows", "vector"],
+                names=["part", "entry", "search", "home", "asks", "key0", "key1", "n", "rows", "vector"],
             )
 
-    routed = source.mapInArrow(route, "part int, home boolean, key0 long, key1 long, n long, rows array<long>, vector binary")
-
-    found = routed.groupBy("part").applyInArrow(
+    routed = source.mapInArrow(route, "part int, entry int, search int, home boolean, asks boolean, key0 long, key1 long, n long, rows array<long>, vector binary")
+    # as many tasks as there are groups: a task has about one, however many rows there are
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int((of_entries * of_searches).sum())))
+    found = routed.repartition(tasks, "part", "entry", "search").groupBy("part", "entry", "search").applyInArrow(
         lambda group: pa.Table.from_batches(list(_reranked(group, dimension, keep, least)), schema=_FOUND),
         "key0 long, key1 long, n long, own array<long>, near array<struct<s:double,r:long>>",
     )
@@ -288,7 +332,10 @@ def nearest(
                 keys = copy_keys(unit)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(ids)], names=["key0", "key1", "a"])
 
-    rest = source.mapInArrow(members, "key0 long, key1 long, a long").join(large, ["key0", "key1"]).where(~F.array_contains("own", F.col("a"))).select("a", "best")
+    # a group of copies may hold a third of all rows: its members are dealt out, its one row to every part
+    salted = source.mapInArrow(members, "key0 long, key1 long, a long").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rest = salted.join(large, ["key0", "key1", "salt"]).where(~F.array_contains("own", F.col("a"))).select("a", "best")
     every = small.unionByName(rest)
     others = F.slice(F.filter("best", lambda c: c["r"] != F.col("a")), 1, k)
     return every.select("a", F.posexplode(others).alias("p", "c")).select(
@@ -296,6 +343,12 @@ def nearest(
     ).distinct()
 
 
+def _counted(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the places 0 .. ``many`` - 1 of every line the line, and the place."""
+    line = np.repeat(np.arange(len(many)), many)
+    return line, np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many)
+
+
 _FOUND = pa.schema(
     [("key0", pa.int64()), ("key1", pa.int64()), ("n", pa.int64()), ("own", pa.list_(pa.int64())), ("near", pa.list_(pa.struct([("s", pa.float64()), ("r", pa.int64())])))]
 )
@@ -304,7 +357,7 @@ _FOUND = pa.schema(
 def _reranked(group: pa.Table, dimension: int, keep: int, least: float) -> Iterator[pa.RecordBatch]:
     """Exact cosines of one partition's searches against its entries."""
     group = group.combine_chunks()
-    home = group.column("home").to_numpy()
+    home, asks = group.column("home").to_numpy(), group.column("asks").to_numpy()
     keys = np.stack([group.column("key0").to_numpy(), group.column("key1").to_numpy()], axis=1)
     counts = group.column("n").to_numpy()
     unit = np.frombuffer(b"".join(group.column("vector").to_pylist()), dtype=np.float32).reshape(-1, dimension)
@@ -314,6 +367,8 @@ def _reranked(group: pa.Table, dimension: int, keep: int, least: float) -> Itera
     inverse = inverse.reshape(-1)
     at_home = np.zeros(len(distinct), dtype=bool)
     np.logical_or.at(at_home, inverse, home)
+    asking = np.zeros(len(distinct), dtype=bool)
+    np.logical_or.at(asking, inverse, asks)
     total = np.zeros(len(distinct), dtype=np.int64)
     np.add.at(total, inverse[home], counts[home])
     rows: list[list[int]] = [[] for _ in distinct]
@@ -325,8 +380,9 @@ def _reranked(group: pa.Table, dimension: int, keep: int, least: float) -> Itera
     base = np.nonzero(at_home)[0]
     entries = unit[base]
     flat, owner = [], []
-    for low in range(0, len(unit), 1024):
-        block = unit[low : low + 1024] @ entries.T
+    asked = np.nonzero(asking)[0]
+    for low in range(0, len(asked), 1024):
+        block = unit[asked[low : low + 1024]] @ entries.T
         q, e = np.nonzero(block > least - 1e-4)
         # beyond the k + 1 most similar entries only equal similarities can matter
         if len(q):
@@ -338,7 +394,7 @@ def _reranked(group: pa.Table, dimension: int, keep: int, least: float) -> Itera
             bound = np.full(len(block), -1.0, dtype=np.float32)
             bound[q[nth == keep]] = s[nth == keep]
             use = s >= bound[q] - 3e-6
-            owner.append(q[use] + low)
+            owner.append(asked[q[use] + low])
             flat.append(base[e[use]])
     out_near: list[list[dict]] = [[] for _ in distinct]
     if flat:

@@ -50,6 +50,17 @@ def test_many_partitions_find_nine_in_ten(spark):
     found = {(r.index_row, r.neighbour) for r in nearest(df, partition_rows=150, sample_rows=1500).collect()}
     want = {(a, b) for a, bs in brute(rows).items() for b in bs}
     assert len(found & want) >= 0.95 * len(want)
+    # blocks change nothing
+    dealt = {(r.index_row, r.neighbour) for r in nearest(df, partition_rows=150, sample_rows=1500, block_rows=60).collect()}
+    assert dealt == found
+
+
+def test_the_exact_way_meets_all(spark):
+    points = cloud(900, 4)
+    rows = [(k, [float(x) for x in p]) for k, p in enumerate(points)] + [(2000 + k, [float(x) for x in points[5]]) for k in range(30)]
+    df = spark.createDataFrame(rows, "index_row long, embedding array<float>")
+    found = {(r.index_row, r.neighbour) for r in nearest(df, partition_rows=100, probes=10**6, reach=float("inf"), block_rows=50).collect()}
+    assert found == {(a, b) for a, bs in brute(rows).items() for b in bs}
 
 
 def test_partitions_are_balanced_and_learnt():
