@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import base64
 import importlib.util
-import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +58,11 @@ class TokenCounter(dict):
 
     LIMIT = 300_000
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         super().__init__()
         import tiktoken
 
-        lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
+        lines = (line.split() for line in vocabulary.splitlines() if line)
         ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.encoding = tiktoken.Encoding("file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
@@ -80,34 +80,43 @@ class TokenCounter(dict):
 
 
 class Windows:
-    """At most ``most`` open containers; sorted by room left."""
+    """At most ``most`` open containers; sorted by room left. New ones are named ``prefix`` and a running number."""
 
-    def __init__(self, capacity: int, most: int) -> None:
-        self.capacity, self.most = capacity, most
+    def __init__(self, capacity: int, most: int, prefix: str = "") -> None:
+        self.capacity, self.most, self.prefix, self.opened = capacity, most, prefix, 0
         self.room: list[tuple[int, str]] = []
 
+    def _named(self, new: str | None) -> str:
+        self.opened += 1
+        return new or f"{self.prefix}{self.opened:08d}"
+
     def place(self, size: int, new: str | None = None) -> str:
         """The container of an item of this size; ``new`` names it if it must be opened."""
+        if size == self.capacity:
+            return self._named(new)  # full at once, no window is needed
         at = bisect_left(self.room, (size, ""))
         if at < len(self.room):
             left, name = self.room.pop(at)  # best fit: the least room that suffices
         else:
             if len(self.room) >= self.most:
                 self.room.pop(0)  # emit the fullest
-            left, name = self.capacity, new or uuid.uuid4().hex
+            left, name = self.capacity, self._named(new)
         if left > size:
             insort(self.room, (left - size, name))
         return name
 
 
 def token_counts(documents: DataFrame, document_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(document, n_tokens) of every text that isn't blank."""
-    path = vocabulary
+    """(document, n_tokens) of every text that isn't blank.
+
+    The vocabulary, a file of bounded size, is read on the driver and sent out.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(Path(vocabulary_path(vocabulary)).read_bytes())
     kind = documents.schema[document_id].dataType.simpleString()
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(vocabulary_path(path))
+        counter = TokenCounter(shared.value)
         for batch in batches:
             keep, counts = [], []
             for k, body in enumerate(batch.column(1).to_pylist()):
@@ -136,7 +145,8 @@ def pack(
     sizes = token_counts(documents, document_id, text, vocabulary)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(capacity, open_windows)
+        # named by the partition: the same when a task is run again
+        windows = Windows(capacity, open_windows, f"{TaskContext.get().partitionId():06d}-")
         for batch in batches:
             names, take, piece, first, many = [], [], [], [], []
             for k, size in enumerate(batch.column(1).to_pylist()):
