@@ -14,10 +14,16 @@ the piece length, and it is not less for longer ones. Of the longer ones those
 of ``one_in`` words for each error are tried: any other holds one of them. Each
 budget an item can have has its own filter of hits before verification.
 
-The documents are read once, where they lie; nothing is shuffled but the found
-pairs. The items must be few: they are brought to the driver in blocks of at
-most ``block_items`` items, with a bound on their text, and every block is
-searched against all rows.
+The documents are read where they lie; nothing is shuffled but the found pairs.
+The items are a stated query set: they come to the driver in blocks of at most
+``block_items`` items and ``BLOCK_CHARS`` characters, one block at a time, and
+every block is searched against all rows. What a block finds is written before
+the next one is fetched, so the driver never holds more than one. A worker builds
+a block's index once for all its tasks.
+
+A piece that many items share is hit often; such hits are looked at for some items
+after the other, at most ``LINES`` at once, so that neither it nor a long text
+can fill a worker.
 
 Defined results: null and blank texts and items shorter than the least
 quotation are in no pair; repeated rows of one id count once; an empty table on
@@ -26,6 +32,7 @@ either side gives no pairs; other columns don't matter.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -36,10 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.llm.words import Tokens
-from reelspan.session import ship
+from reelspan.session import materialise, ship
 
-#: A block's text may have so many characters; a longer block is halved.
+#: A block's text may have so many characters.
 BLOCK_CHARS = 4_000_000
+#: So many places of items are looked at together, or those of one item.
+LINES = 2_000_000
 
 
 def piece_length(least: int, one_in: int) -> int:
@@ -97,6 +106,7 @@ class Pieces:
         every = [x for v in self.values for x in places[int(v)]]
         self.of_item = np.array([i for i, _ in every], dtype=np.int64)
         self.of_place = np.array([p for _, p in every], dtype=np.int64)
+        self.of_piece = np.repeat(np.arange(len(self.values)), np.diff(self.first))
         self.words = np.array([len(t) for _, t in self.items], dtype=np.int64)
         self.budgets = range(least // one_in, max([least, *self.words.tolist()]) // one_in + 1)
         # all items in one row, apart by more than a look around a piece reaches; -1 matches nothing
@@ -144,11 +154,37 @@ class Pieces:
         inside = hits + self.size <= ends[owner]  # not over the end of a text
         hits, owner = hits[inside], owner[inside]
         slot = slot[hits]
-        # one line for each place of the piece
-        many = self.first[slot + 1] - self.first[slot]
+        found: list[tuple[int, int]] = []
+        for low, high in self._item_ranges(slot):
+            found += self._search_items(flat, lengths, ends, hits, owner, slot, low, high)
+        return found
+
+    def _item_ranges(self, slot: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of items whose places in all hits are no more than ``LINES``, or of one item."""
+        hits = np.bincount(slot, minlength=len(self.values))
+        each = np.bincount(self.of_item, weights=np.repeat(hits, np.diff(self.first)), minlength=len(self.items))
+        ranges, low, total = [], 0, 0.0
+        for item, lines in enumerate(each.tolist()):
+            if item > low and total + lines > LINES:
+                ranges.append((low, item))
+                low, total = item, 0.0
+            total += lines
+        return [*ranges, (low, len(self.items))]
+
+    def _search_items(self, flat: np.ndarray, lengths: np.ndarray, ends: np.ndarray, hits: np.ndarray, owner: np.ndarray, slot: np.ndarray, low_item: int, high_item: int) -> list[tuple[int, int]]:
+        """The pairs of the items of a range."""
+        # one line for each place of the piece; the places of a piece are in the order of their items
+        first, last = self.first[slot], self.first[slot + 1]
+        if (low_item, high_item) != (0, len(self.items)):
+            of = self.of_piece * (len(self.items) + 1) + self.of_item
+            first = np.searchsorted(of, slot * (len(self.items) + 1) + low_item)
+            last = np.searchsorted(of, slot * (len(self.items) + 1) + high_item)
+        many = last - first
+        if not many.any():
+            return []
         line = np.repeat(np.arange(len(hits)), many)
         nth = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many)
-        entry = self.first[slot][line] + nth
+        entry = first[line] + nth
         item, place = self.of_item[entry], self.of_place[entry]
         hits, owner = hits[line], owner[line]
         # of pieces that follow each other in text and item, the first stands for all
@@ -257,11 +293,17 @@ class Pieces:
         return bits
 
 
-def _blocks(items: list[tuple[object, str]]) -> list[list[tuple[object, str]]]:
-    if len(items) <= 1 or sum(len(t) for _, t in items) <= BLOCK_CHARS:
-        return [items] if items else []
-    half = len(items) // 2
-    return _blocks(items[:half]) + _blocks(items[half:])
+def _blocks(items: Iterator, most: int) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of bounded number and text; an item longer than the bound is a block by itself."""
+    block, chars = [], 0
+    for key, text in items:
+        if block and (len(block) == most or chars + len(text) > BLOCK_CHARS):
+            yield block
+            block, chars = [], 0
+        block.append((key, text))
+        chars += len(text)
+    if block:
+        yield block
 
 
 def leaks(
@@ -281,25 +323,35 @@ def leaks(
     wanted = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).groupBy(item_id).agg(F.max(item_text).alias("t"))
     texts = documents.where(F.col(document_id).isNotNull() & F.col(document_text).isNotNull()).select(F.col(document_id).alias("d"), F.col(document_text).alias("t"))
     kinds = f"`{item_id}` {items.schema[item_id].dataType.simpleString()}, `{document_id}` {documents.schema[document_id].dataType.simpleString()}"
-    pages, block = [], []
-    for row in wanted.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
-            pages += _blocks(block)
-            block = []
-    pages += _blocks(block)
-    if not pages:
+    found, block = [], None
+    for following in _blocks(wanted.toLocalIterator(), block_items):
+        if block is not None:
+            found.append(materialise(_searched(texts, block, kinds, item_id, document_id, least, one_in)))
+        block = following
+    if block is None:
         return spark.createDataFrame([], kinds)
-    found = [_searched(texts, page, kinds, item_id, document_id, least, one_in) for page in pages]
+    found.append(_searched(texts, block, kinds, item_id, document_id, least, one_in))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _searched(texts: DataFrame, page: list, kinds: str, item_id: str, document_id: str, least: int, one_in: int) -> DataFrame:
+#: The index of the block a worker searches, by the block's name; one at a time.
+_INDEX: dict[str, Pieces] = {}
+
+
+def _index(name: str, block: list, least: int, one_in: int) -> Pieces:
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Pieces(block, least, one_in)
+    return _INDEX[name]
+
+
+def _searched(texts: DataFrame, block: list, kinds: str, item_id: str, document_id: str, least: int, one_in: int) -> DataFrame:
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast(page)
+    shared = context.broadcast((uuid.uuid4().hex, block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Pieces(shared.value, least, one_in)
+        name, block = shared.value
+        index = _index(name, block, least, one_in)
         number = index.vocabulary
         tokens = Tokens(lambda word: number.get(word, 0))
         for batch in batches:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ pytest.importorskip("reelspan.llm")
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelspan.llm.leaks import Pieces, leaks, myers, piece_length
+from reelspan.llm.leaks import Pieces, _blocks, leaks, myers, piece_length
 from reelspan.llm.packing import TokenCounter, Windows, pack, vocabulary_path
 from reelspan.llm.subjects import Bounds, Growth, Rules, Scorer, assign, fit, sentence_items
 from reelspan.llm.words import Tokens, split_words
@@ -73,6 +74,26 @@ def test_search_against_all_windows():
     assert got == want
 
 
+@pytest.mark.parametrize("lines", [1, 7, 100])
+def test_pieces_that_many_items_share_are_looked_at_in_turn(monkeypatch, lines):
+    rng = random.Random(2)
+    common = [f"c{k}" for k in range(18)]
+    items = [common + [f"i{k}w{j}" for j in range(rng.randrange(0, 12))] for k in range(25)]
+    texts = [common + ["x"], ["y"] * 3 + items[4], common[:10], items[7][5:], []]
+    index = Pieces([(k, " ".join(i)) for k, i in enumerate(items)], 16, 8)
+    coded = [[index.vocabulary.get(w, 0) for w in t] for t in texts]
+    flat, lengths = np.array([w for t in coded for w in t]), np.array([len(t) for t in coded])
+    whole = set(index.search(flat, lengths))
+    monkeypatch.setattr("reelspan.llm.leaks.LINES", lines)
+    assert set(index.search(flat, lengths)) == whole == {(t, i) for t, text in enumerate(texts) for i, item in enumerate(items) if brute_leak(item, text)}
+
+
+def test_blocks_of_items_are_bounded(monkeypatch):
+    monkeypatch.setattr("reelspan.llm.leaks.BLOCK_CHARS", 10)
+    items = [(1, "aaaa"), (2, "bbbb"), (3, "cccc"), (4, "d" * 30), (5, "e")]
+    assert [[k for k, _ in b] for b in _blocks(iter(items), 2)] == [[1, 2], [3], [4], [5]] and list(_blocks(iter([]), 2)) == []
+
+
 @pytest.mark.parametrize("budget", [3, 4, 6])
 @pytest.mark.parametrize("added", [True, False])
 def test_longer_quotations_may_have_their_errors_in_one_place(budget, added):
@@ -94,9 +115,10 @@ def test_leaks(spark):
     marked = "<p> " + " ".join(f"<b>{w.upper()}</b>" for w in words[:16]) + " </p>"
     docs = [(1, "before " + item + " after"), (2, marked), (3, " ".join(words[:10])), (4, " ".join(reversed(words))), (5, None), (6, ""), (7, " ".join(words[2:12] + ["new"] + words[12:20])), (7, "x"), (8, "long " * 60_000 + item)]
     df = spark.createDataFrame([(d, t, 0, "clash") for d, t in docs], DOCS)
-    items = spark.createDataFrame([(9, item), (10, "too short"), (11, None), (9, item)], "item_id long, text string")
-    assert {tuple(r) for r in leaks(df, items).collect()} == {(9, 1), (9, 2), (9, 7), (9, 8)}
-    assert {tuple(r) for r in leaks(df, items, block_items=1).collect()} == {(9, 1), (9, 2), (9, 7), (9, 8)}
+    items = spark.createDataFrame([(9, item), (10, "too short"), (11, None), (9, item), (12, " ".join(reversed(words)))], "item_id long, text string")
+    want = {(9, 1), (9, 2), (9, 7), (9, 8), (12, 4)}
+    assert {tuple(r) for r in leaks(df, items).collect()} == want
+    assert {tuple(r) for r in leaks(df, items, block_items=1).collect()} == want
     assert leaks(df.limit(0), items).count() == 0 and leaks(df, items.limit(0)).count() == 0
 
 
@@ -107,7 +129,7 @@ def test_words():
 
 
 def test_token_counts_are_those_of_the_encoding():
-    counter = TokenCounter(vocabulary_path())
+    counter = TokenCounter(Path(vocabulary_path()).read_bytes())
     rng = random.Random(2)
     for _ in range(400):
         text = "".join(rng.choice(["a", "Đường ", " ", "\n", "  ", "12", "'s", ".", " ", "👍", "x\n\n y", "\t"]) for _ in range(rng.randrange(1, 12)))
@@ -134,7 +156,7 @@ def test_packing_is_whole(spark):
         fills[r.container] = fills.get(r.container, 0) + r.n_tokens
         lengths.setdefault(r.doc_id, []).append((r.piece, r.first_token, r.n_tokens))
     assert max(fills.values()) <= 256
-    counter = TokenCounter(vocabulary_path())
+    counter = TokenCounter(Path(vocabulary_path()).read_bytes())
     for d, t in rows:
         if t and not t.isspace():
             n = counter.count(t)
@@ -231,3 +253,12 @@ def test_areas_that_only_two_words_together_tell(spark):
     got = {r.doc_id: r.subject_id for r in assign(df, rules).collect()}
     assert got == truth
     assert assign(df, fit(df, spark.createDataFrame(labels, "doc_id long, subject_id long, annotator string"), rule_items=1)).count() == 0
+
+
+def test_full_pieces_need_no_window_and_names_repeat(spark):
+    windows = Windows(10, 2, "p-")
+    assert [windows.place(n) for n in (8, 7)] == ["p-00000001", "p-00000002"] and windows.place(10) == "p-00000003"
+    assert [room for room, _ in windows.room] == [2, 3]
+    df = spark.createDataFrame([(k, "word " * (k * 37 % 900)) for k in range(60)], "doc_id long, text string").repartition(3, "doc_id")
+    first, second = (sorted(map(tuple, pack(df, capacity=300, open_windows=4).collect())) for _ in range(2))
+    assert first == second and first
