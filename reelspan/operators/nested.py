@@ -13,9 +13,9 @@ container is the payload, its ``data``, or an element of a ``frames`` list.
 
 Defined results: a payload that is null, blank or not valid JSON is a record
 without detections; a byte order mark is ignored; a JSON string that holds JSON
-is read as that JSON, however often it is wrapped up to four times; of the rows
-of one record the latest received counts, of equal times the greatest payload;
-rows without key are dropped; lists shorter than the class names leave nulls;
+is read as that JSON, however often it is wrapped; of the rows of one record the
+latest received counts, of equal times the one whose payload has the greatest
+hash; rows without key are dropped; lists shorter than the class names leave nulls;
 numbers given as strings are numbers; an empty table gives empty tables.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The fields of the layouts.
 LISTS = ("detections", "objects", "results")
@@ -88,23 +89,50 @@ def _json(text: Column) -> Column:
     return F.when(F.size(_list(whole)) == 1, F.try_variant_get(whole, "$[0]", "variant"))
 
 
-def parsed(df: DataFrame, payload: str) -> DataFrame:
-    """Add ``root``: the payload as a variant, null if it isn't valid JSON. Of repeated keys the last counts."""
+#: Only a payload that begins with a quotation mark can be JSON in a string.
+_QUOTED = '^[\\s\ufeff]*"'
+
+
+def _wraps(payload: Column) -> Column:
+    """No less than how often a payload wraps JSON in strings.
+
+    Each wrapping doubles the backslashes before a quotation mark and adds one, or
+    writes them as ``u005c``; the innermost text may have none.
+    """
+    runs = F.regexp_extract_all(payload, F.lit(r"(?:\\|u005[cC])+"), F.lit(0))
+    each = F.transform(runs, lambda r: F.floor(F.log2(F.length(r) + 1)) + F.regexp_count(r, F.lit("u005[cC]")))
+    return F.when(payload.rlike(_QUOTED), F.coalesce(F.array_max(each), F.lit(0)) + 2).otherwise(0)
+
+
+def wrapping(df: DataFrame, payload: str) -> int:
+    """How often, at most, a payload of the table wraps JSON in strings; one pass over the rows."""
+    return int(df.agg(F.max(_wraps(F.col(payload)))).first()[0] or 0)
+
+
+def parsed(df: DataFrame, payload: str, wraps: int | None = None) -> DataFrame:
+    """Add ``root``: the payload as a variant, null if it isn't valid JSON. Of repeated keys the last counts.
+
+    ``wraps``: how often JSON is wrapped in strings at most, measured if not given.
+    Sets ``spark.sql.variant.allowDuplicateKeys``, without which repeated keys are
+    no JSON.
+    """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    wraps = wrapping(df, payload) if wraps is None else wraps
     df = df.withColumn("root", _json(F.col(payload)))
-    # only a payload that begins with a quotation mark can be JSON in a string
-    quoted = F.col(payload).rlike('^[\\s\ufeff]*"')
-    for _ in range(4):
+    for _ in range(wraps):
         inner = F.try_variant_get("root", "$", "string")
-        text = quoted & F.try_variant_get("root", "$", "array<variant>").isNull() & F.try_variant_get("root", "$", "map<string,variant>").isNull()
+        text = F.col(payload).rlike(_QUOTED) & F.try_variant_get("root", "$", "array<variant>").isNull() & F.try_variant_get("root", "$", "map<string,variant>").isNull()
         df = df.withColumn("root", F.when(text, _json(inner)).otherwise(F.col("root")))
     return df
 
 
-def latest_records(df: DataFrame, key: str, payload: str, received: str) -> DataFrame:
+def latest_records(df: DataFrame, key: str, payload: str, received: str, wraps: int | None = None) -> DataFrame:
     """(record, received, payload, root): the latest row of each record."""
-    rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("record")).agg(F.max(F.struct(F.col(received).alias("r"), F.col(payload).alias("p"))).alias("v"))
-    return parsed(rows.select("record", F.col("v.r").alias("received"), F.col("v.p").alias("payload")), "payload")
+    wraps = wrapping(df, payload) if wraps is None else wraps
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("record"), F.col(received).alias("received"), F.col(payload).alias("payload"))
+    latest = Window.partitionBy("record").orderBy(F.col("received").desc_nulls_last(), F.xxhash64("payload").desc())
+    once = rows.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") == 1).drop("_n")
+    return parsed(once, "payload", wraps)
 
 
 def _levels(records: DataFrame, depth: int, slim: bool = False) -> DataFrame:
@@ -135,17 +163,23 @@ def unnested(df: DataFrame, key: str = "object_id", payload: str = "payload", re
     """The latest records with their detections by depth, and the depth there is.
 
     ``depth`` is a first guess; it is doubled until no payload nests deeper. Only
-    payloads that name as many lists of sub-detections are looked at for that.
+    payloads that name as many lists of sub-detections are parsed for that, where
+    they lie: a payload that is not the latest of its record can only make it
+    greater.
     """
-    records = latest_records(df, key, payload, received)
-    names = F.regexp_count(F.col("payload"), F.lit("(?:" + "|".join(KIDS) + ")[\\\\]*\""))
-    while True:
+    names = F.regexp_count(F.col(payload), F.lit("(?:" + "|".join(KIDS) + ")[\\\\]*\""))
+    wraps, most = df.agg(F.max(_wraps(F.col(payload))), F.max(names)).first()
+    wraps, most = int(wraps or 0), int(most or 0)
+    records = latest_records(df, key, payload, received, wraps)
+    while most > depth:
         # every level is asked for: were only the last one, the optimizer would fold all of them into one expression
-        deep = _levels(records.where(names >= depth), depth, True)
-        sizes = deep.agg(*[F.max(F.size(f"level{k}")).alias(f"n{k}") for k in range(depth + 1)]).first()
-        if not sizes[f"n{depth}"]:
-            return _levels(records, depth, slim), depth
+        deep = _levels(parsed(df.where(names > depth).select(F.col(payload).alias("payload")), "payload", wraps), depth + 1, True)
+        sizes = deep.agg(*[F.max(F.size(f"level{k}")).alias(f"n{k}") for k in range(depth + 2)]).first()
+        if not sizes[f"n{depth + 1}"]:
+            break
         depth *= 2
+    depth = max(1, min(depth, most))
+    return _levels(records, depth, slim), depth
 
 
 def _coordinates(box: Column) -> Column:

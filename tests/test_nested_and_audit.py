@@ -37,6 +37,31 @@ def test_latest_record_counts(spark):
     assert nested.detection_paths(df).count() == 0
 
 
+def test_json_in_strings_is_unwrapped_however_often(spark):
+    payloads = []
+    for times in range(9):
+        text = json.dumps([{"label": f"w\\\\{times}", "parts": [{"name": "p"}]}])
+        for _ in range(times):
+            text = json.dumps(text)
+        payloads.append(text)
+    coded = json.dumps([{"label": "u"}])
+    for _ in range(4):
+        coded = '"' + coded.replace("\\", "\\u005c").replace('"', "\\u0022") + '"'
+    payloads += [coded, json.dumps("[3]"), json.dumps(json.dumps(json.dumps("text"))), '"cut']
+    found = {(r.record, r.det_path) for r in nested.detection_paths(table(spark, payloads)).collect()}
+    assert found == {(k, path) for k in range(9) for path in ("0", "0.0")} | {(9, "0")}
+    assert nested.detection_paths(table(spark, payloads[:1] * 3)).count() == 6
+
+
+def test_the_latest_row_of_a_record_and_repeated_rows(spark):
+    one, two = json.dumps([{"label": "a"}]), json.dumps([{"label": "b"}, {"label": "c"}])
+    rows = [(1, one, "2020-01-01"), (1, two, "2021-01-01"), (1, two, "2021-01-01"), (1, one, None), (2, one, None), (2, two, None), (3, None, "2022-01-01"), (3, one, "2021-01-01")]
+    df = spark.createDataFrame(rows, "object_id long, payload string, at string").selectExpr("object_id", "payload", "to_timestamp(at) as received_at")
+    counts = {r.record: (r.n_detections, r.valid) for r in nested.record_table(df).collect()}
+    assert counts[1] == (2, True) and counts[2] in ((1, True), (2, True)) and counts[3] == (0, False)
+    assert nested.sub_detection_table(df).count() == 0
+
+
 def test_object_warnings_and_detections(spark):
     good = {"detection_scores": ["0.9"], "detection_class_names": ["Car"], "detection_class_entities": ["car "], "detection_boxes": [[0, 0, 1, "1"]], "detection_class_labels": [3]}
     payloads = [json.dumps(good), json.dumps({**good, "detection_scores": [1.5], "detection_class_labels": [None]}), json.dumps([{"confidence": 0.8, "category": " Big  Bus "}, {"label": "dog"}, {}]), json.dumps([3]), json.dumps({"a": 1}), "3", "x", json.dumps({"detection_scores": []})]
