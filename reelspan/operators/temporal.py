@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelspan.operators.ranking import placed
-from reelspan.session import ship
 
 MAX_EVENTS = 4
 
 
-def _chain(rows: list[tuple], events: int, max_gap: int, penalty: float, bonus: float) -> tuple:
-    """Best chain of one video. ``rows``: (event, frame, rank, row, evidence)."""
-
-    def worth(chain: tuple, score: float) -> tuple:
-        whole = len(chain) == events
-        return (not whole, -len(chain), -(score + (bonus if whole else 0.0)), min(r[2] for r in chain), tuple(r[3] for r in chain))
-
-    lists = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
-        lists[r[0]].append(r)
-    ends: list[tuple[tuple, float]] = []
-    best = None
-    for event in range(events):
-        here = []
-        for r in lists[event]:
-            options = [((r,), r[4])]
-            for chain, score in ends:
-                gap = r[1] - chain[-1][1]
-                if 0 < gap <= max_gap:
-                    options.append(((*chain, r), score + r[4] - penalty * gap / max_gap))
-            state = min(options, key=lambda o: worth(*o))
-            here.append(state)
-            if best is None or worth(*state) < worth(*best):
-                best = state
-        ends = here  # a chain can't skip an event
-    return best
-
-
 def event_chains(
     hits: DataFrame,
     events: int,
@@ -56,31 +26,53 @@ def event_chains(
     """The best chain of every (query, video), ranked in its query.
 
     ``hits``: (query_id, event, rank, index_row, video_id, frame), events from 0,
-    at most four, each list cut at ``depth``; so the chains of one video come
+    at most four, each list cut at ``depth``; so the chains of one query come
     from a bounded group. Evidence of a hit is ``1 / (rank_constant + rank)``;
     a chain may begin late or stop early but skips no event between. Hits
-    without video or frame take no part.
+    without video or frame take no part; of repeated hits of one (event, row) the
+    first counts.
+
+    For every hit there is one chain that ends in it: the longest, then that of
+    greatest score, best rank and lowest rows. It is found event by event, by a
+    join with the chains that end in the event before.
     """
     if not 0 < events <= MAX_EVENTS:
         raise ValueError(f"ordered alignment has one to {MAX_EVENTS} events")
-    ship(hits.sparkSession)
     usable = hits.where(F.col("video_id").isNotNull() & F.col("frame").isNotNull() & (F.col("rank") <= depth))
-
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        videos = defaultdict(list)
-        for v, e, f, k, r in zip(group.video_id, group.event.tolist(), group.frame.tolist(), group["rank"].tolist(), group.index_row.tolist(), strict=True):
-            videos[v].append((e, f, k, r, 1.0 / (rank_constant + k)))
-        out = []
-        for video, rows in videos.items():
-            chain, score = _chain(rows, events, max_gap, penalty, bonus)
-            whole = len(chain) == events
-            key = lambda r, whole=whole: (0 if prefer_final and whole and r[0] == events - 1 else 1, -r[4], r[2], r[3])
-            out.append((group.query_id.iloc[0], video, len(chain), whole, round(score + (bonus if whole else 0.0), 9), min(r[2] for r in chain), min(chain, key=key)[3], [r[3] for r in chain]))
-        return pd.DataFrame(out, columns=["query_id", "video_id", "coverage", "whole", "score", "best_rank", "shown_row", "rows"])
-
-    # all videos of a query together: at most four lists of ``depth`` hits
-    found = usable.groupBy("query_id").applyInPandas(
-        best, "query_id string, video_id string, coverage long, whole boolean, score double, best_rank long, shown_row long, rows array<long>"
+    once = usable.groupBy("query_id", "event", "video_id", "index_row").agg(F.min(F.struct("rank", "frame")).alias("h")).select("query_id", "event", "video_id", "index_row", "h.rank", "h.frame")
+    evidence = F.lit(1.0) / (F.lit(rank_constant) + F.col("rank"))
+    here = F.struct(F.col("rank").alias("rank"), F.col("index_row").alias("row"))
+    alone = F.struct(F.lit(-1).alias("shorter"), (-evidence).alias("worse"), here.alias("shown"), F.array("index_row").alias("rows"))
+    ends, every = None, []
+    for event in range(events):
+        own = once.where(F.col("event") == event)
+        if ends is None:
+            ends = own.select("query_id", "video_id", "frame", here.alias("last"), alone.alias("chain"))
+        else:
+            before = ends.select(F.col("query_id").alias("from_query"), F.col("video_id").alias("from_video"), F.col("frame").alias("from"), F.col("chain").alias("so_far"))
+            gap = F.col("frame") - F.col("from")
+            linked = own.join(before, (F.col("query_id") == F.col("from_query")) & (F.col("video_id") == F.col("from_video")) & gap.between(1, max_gap), "left")
+            longer = F.struct(
+                (F.col("so_far.shorter") - 1).alias("shorter"),
+                (-(-F.col("so_far.worse") + evidence - penalty * gap / max_gap)).alias("worse"),
+                F.least("so_far.shown", here).alias("shown"),
+                F.concat("so_far.rows", F.array("index_row")).alias("rows"),
+            )
+            best = F.min(F.when(F.col("so_far").isNull(), alone).otherwise(longer))
+            ends = linked.groupBy("query_id", "video_id", "frame", "rank", "index_row").agg(best.alias("chain")).select("query_id", "video_id", "frame", here.alias("last"), "chain")
+        every.append(ends.withColumn("event", F.lit(event)))
+    of_videos = reduce(DataFrame.unionByName, every).withColumn("short", F.col("chain.shorter") > -events)
+    best = of_videos.groupBy("query_id", "video_id").agg(F.min(F.struct("short", "chain", "last")).alias("b"))
+    whole = ~F.col("b.short")
+    found = best.select(
+        "query_id",
+        "video_id",
+        (-F.col("b.chain.shorter")).cast("long").alias("coverage"),
+        whole.alias("whole"),
+        F.round(-F.col("b.chain.worse") + F.when(whole, bonus).otherwise(0.0), 9).alias("score"),
+        F.col("b.chain.shown.rank").alias("best_rank"),
+        F.when(whole & F.lit(prefer_final), F.col("b.last.row")).otherwise(F.col("b.chain.shown.row")).alias("shown_row"),
+        F.col("b.chain.rows").alias("rows"),
     )
     order = [F.col("whole").desc(), F.col("coverage").desc(), F.col("score").desc(), F.col("best_rank"), F.col("shown_row"), F.col("video_id")]
     return placed(found, order)

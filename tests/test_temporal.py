@@ -1,7 +1,7 @@
 import itertools
+import random
 
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
+import pytest
 
 from reelspan.operators import temporal
 
@@ -14,20 +14,39 @@ def worth(chain, events, max_gap, penalty, bonus):
     return (not whole, -len(chain), -(score + (bonus if whole else 0)), min(r[2] for r in chain), tuple(r[3] for r in chain)), score
 
 
-@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 12)), min_size=1, max_size=8))
-def test_chain_has_the_length_of_the_best_of_all_chains(cells):
-    rows = [(e, f, k + 1, k, 1 / (61 + k)) for k, (e, f) in enumerate(cells)]
-    best = None
-    for size in (1, 2, 3):
-        for chain in itertools.permutations(rows, size):
-            if all(b[0] == a[0] + 1 and 0 < b[1] - a[1] <= 6 for a, b in itertools.pairwise(chain)):
-                key, _ = worth(chain, 3, 6, 0.25, 1.0)
-                best = key if best is None or key < best else best
-    found, _ = temporal._chain(rows, 3, 6, 0.25, 1.0)
-    key, _ = worth(found, 3, 6, 0.25, 1.0)
-    assert key[:2] == best[:2]
-    assert all(b[0] == a[0] + 1 and 0 < b[1] - a[1] <= 6 for a, b in itertools.pairwise(found))
+def dynamic(rows, events, max_gap, penalty, bonus):
+    """Of each hit the best chain that ends in it, by trying all that end in the event before."""
+    ends, best = {}, None
+    for event in range(events):
+        here = {}
+        for r in (x for x in rows if x[0] == event):
+            options = [((*ends[q], r) if q is not None else (r,)) for q in [None, *[q for q in ends if 0 < r[1] - q[1] <= max_gap]]]
+            here[r] = min(options, key=lambda c: worth(c, events, max_gap, penalty, bonus)[0])
+            best = min([here[r], *([best] if best else [])], key=lambda c: worth(c, events, max_gap, penalty, bonus)[0])
+        ends = here
+    return best
+
+
+def test_chains_are_those_of_a_walk_over_all_hits(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for q in range(60):
+        cells = [(rng.randrange(3), rng.randrange(13)) for _ in range(rng.randrange(1, 9))]
+        hits_of = [(e, f, k + 1, k, 1 / (61 + k)) for k, (e, f) in enumerate(cells)]
+        rows += [(f"q{q}", e, k, r, "v", f, 0.0) for e, f, k, r, _ in hits_of]
+        want[f"q{q}"] = dynamic(hits_of, 3, 6, 0.25, 1.0)
+    found = temporal.event_chains(spark.createDataFrame(rows, SCHEMA), 3, max_gap=6).collect()
+    got = {r.query_id: r for r in found}
+    assert {q: list(r.rows) for q, r in got.items()} == {q: [h[3] for h in chain] for q, chain in want.items()}
+    for q, chain in want.items():
+        key, score = worth(chain, 3, 6, 0.25, 1.0)
+        assert abs(got[q].score - (score + (len(chain) == 3))) < 1e-8 and got[q].best_rank == min(h[2] for h in chain)
+
+
+def test_chains_of_nothing_and_too_many_events(spark):
+    assert temporal.event_chains(hits(spark, []), 2).count() == 0
+    with pytest.raises(ValueError):
+        temporal.event_chains(hits(spark, []), 5)
 
 
 def hits(spark, rows):
@@ -44,7 +63,7 @@ def test_chains_cannot_skip_the_middle_event(spark):
 
 
 def test_paths_against_all_combinations(spark):
-    import random
+
 
     rng = random.Random(3)
     rows = [(e, k + 1, 100 * e + k, rng.choice("ab"), rng.randrange(30), round(rng.random(), 3)) for e in range(3) for k in range(10)]
