@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelspan.functions.text import judged_form_udf
+
 # The cutoffs of the ranked scores.
 CUTOFFS = (1, 5, 20, 50, 100)
 MAX_RESPONSES = 100
@@ -21,11 +25,23 @@ def frame_score(truth: DataFrame, responses: DataFrame) -> DataFrame:
     return responses.join(t, "query_id").select("query_id", "rank", F.when(hit, 1.0).otherwise(0.0).alias("score"))
 
 
-def answer_score(truth: DataFrame, responses: DataFrame) -> DataFrame:
-    """The same, where the response's answer must be one of the true ``answers`` too."""
+def answer_score(truth: DataFrame, responses: DataFrame, matcher: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The same, where the response's answer must match one of the true ``answers`` too.
+
+    Without ``matcher`` answers match that are equal case folded and with white
+    space collapsed; a matcher gets the columns of the answer and of a true one.
+    """
     t = truth.select("query_id", F.col("video_id").alias("tv"), "start", "end", "answers")
-    hit = (F.col("video_id") == F.col("tv")) & F.col("frame").between(F.col("start"), F.col("end")) & F.array_contains("answers", F.col("answer"))
-    return responses.join(t, "query_id").select("query_id", "rank", F.when(F.coalesce(hit, F.lit(False)), 1.0).otherwise(0.0).alias("score"))
+    if matcher is None:
+        plain = truth.select("query_id", F.explode("answers").alias("a")).select("query_id", judged_form_udf("a").alias("a")).groupBy("query_id").agg(F.collect_set("a").alias("answers"))
+        t = t.drop("answers").join(plain, "query_id", "left")
+        joined = responses.withColumn("_judged", judged_form_udf("answer")).join(t, "query_id")
+        matched = F.array_contains("answers", F.col("_judged"))
+    else:
+        joined = responses.join(t, "query_id")
+        matched = F.exists("answers", lambda a: matcher(F.col("answer"), a))
+    hit = (F.col("video_id") == F.col("tv")) & F.col("frame").between(F.col("start"), F.col("end")) & matched
+    return joined.select("query_id", "rank", F.when(F.coalesce(hit, F.lit(False)), 1.0).otherwise(0.0).alias("score"))
 
 
 def path_score(truth: DataFrame, responses: DataFrame) -> DataFrame:
@@ -82,3 +98,18 @@ def compared(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 def percentiles(values: DataFrame, value: str) -> DataFrame:
     """p50 and p95 by linear interpolation, exact."""
     return values.agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
+
+
+class TaskFault(ValueError):
+    """A task is unknown."""
+
+
+def evaluated(task: str, queries: DataFrame, truth: DataFrame, responses: DataFrame, matcher: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Recall at the cutoffs and final score of every query of a task: kis, qa or trake. Faulty lists of responses are errors."""
+    identity = {"kis": ["video_id", "frame"], "qa": ["video_id", "frame", "answer"], "trake": ["video_id", "frames"]}
+    if task not in identity:
+        raise TaskFault(f"no such task: {task}")
+    faults = response_faults(responses, identity[task]).select("query_id", F.col("fault").alias("_fault"))
+    checked = responses.join(faults, "query_id", "left").withColumn("rank", F.when(F.col("_fault").isNotNull(), F.raise_error(F.concat(F.lit("responses of a query: "), F.col("_fault"))).cast("long")).otherwise(F.col("rank"))).drop("_fault")
+    scores = {"kis": frame_score, "trake": path_score}[task](truth, checked) if task != "qa" else answer_score(truth, checked, matcher)
+    return recall_at(queries, scores)

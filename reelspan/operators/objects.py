@@ -47,7 +47,11 @@ def schema_warnings(df: DataFrame, key: str = "object_id", payload: str = "paylo
 
     A payload that isn't valid JSON has the warning ``not JSON``.
     """
-    records = latest_records(df, key, payload, received)
+    return _warned(latest_records(df, key, payload, received)).select("record", F.inline("warnings"))
+
+
+def _warned(records: DataFrame) -> DataFrame:
+    """Add ``warnings``: (place, warning) of each record."""
     root = F.col("root")
     has = {f: F.try_variant_get(root, f"$.{f}", "variant").isNotNull() for f in PARALLEL}
     any_parallel = F.coalesce(sum((h.cast("int") for h in has.values()), F.lit(0)) > 0, F.lit(False))
@@ -66,7 +70,7 @@ def schema_warnings(df: DataFrame, key: str = "object_id", payload: str = "paylo
         .when(~any_parallel & own.isNull(), "unknown layout")
         .when(count > MAX_DETECTIONS, "too many detections")
     )
-    records = records.select("record", general.alias("general"), (any_parallel & whole & (F.size(sizes) == 1)).alias("parallel"), *[lists[f].alias(f) for f in PARALLEL], F.when(~any_parallel, own).alias("own"))
+    records = records.select("record", "root", general.alias("general"), (any_parallel & whole & (F.size(sizes) == 1)).alias("parallel"), *[lists[f].alias(f) for f in PARALLEL], F.when(~any_parallel, own).alias("own"))
 
     def parallel(score: Column, i: Column) -> Column:
         text = lambda f: _kind(F.get(f, i)) == "STRING"
@@ -92,7 +96,7 @@ def schema_warnings(df: DataFrame, key: str = "object_id", payload: str = "paylo
     nothing = F.expr("cast(array() as array<struct<place:bigint,warning:string>>)")
     each = F.when(F.col("parallel"), F.flatten(F.transform("detection_scores", parallel))).when(F.col("own").isNotNull(), F.flatten(F.transform("own", listed)))
     overall = F.when(F.col("general").isNotNull(), F.array(F.struct(F.lit(None).cast("long").alias("place"), F.col("general").alias("warning"))))
-    return records.select("record", F.inline(F.concat(F.coalesce(overall, nothing), F.coalesce(each, nothing))))
+    return records.select("record", "root", F.concat(F.coalesce(overall, nothing), F.coalesce(each, nothing)).alias("warnings"))
 
 
 def plain_detections(df: DataFrame, key: str = "object_id", payload: str = "payload", received: str = "received_at") -> DataFrame:
@@ -100,9 +104,7 @@ def plain_detections(df: DataFrame, key: str = "object_id", payload: str = "payl
 
     Detections without label are left out; payloads with any warning have none.
     """
-    names = {"key": key, "payload": payload, "received": received}
-    faulty = schema_warnings(df, **names).select("record").distinct()
-    records = latest_records(df, key, payload, received).where(F.col("root").isNotNull()).join(faulty, "record", "left_anti")
+    records = _warned(latest_records(df, key, payload, received)).where(F.size("warnings") == 0)
     root = F.col("root")
     text = lambda v: F.lower(F.trim(F.regexp_replace(F.try_variant_get(v, "$", "string"), "(?U)\\s+", " ")))
     named = _list(root, "detection_class_names")

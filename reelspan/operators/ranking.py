@@ -125,9 +125,9 @@ def object_consistency(labels: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def object_vocabulary(labels: DataFrame, limit: int = 64) -> DataFrame:
-    """The labels with the greatest summed score; equal sums by label."""
-    sums = labels.groupBy("label").agg(F.round(F.sum("score"), 6).alias("total"))
-    return sums.orderBy(F.col("total").desc(), "label").limit(limit)
+    """(query_id, label, total, rank): of each query's shortlist the labels with the greatest summed score; equal sums by label."""
+    sums = labels.groupBy("query_id", "label").agg(F.round(F.sum("score"), 6).alias("total"))
+    return placed(sums, [F.col("total").desc(), F.col("label")], limit)
 
 
 def contrastive(shortlist: DataFrame, cosines: DataFrame, consistency: DataFrame, positive: float, negative: float, objects: float) -> DataFrame:

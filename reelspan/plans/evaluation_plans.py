@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspan.operators import evaluation, temporal
 from reelspan.plans import retrieval_plans as retrieval
-from reelspan.session import table
+from reelspan.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,7 +41,7 @@ recall AS (SELECT query_id, r_1, r_5, r_20, r_50, r_100, round((r_1 + r_5 + r_20
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    hits = retrieval.hits(spark, sf_dir)
+    hits = materialise(retrieval.hits(spark, sf_dir))
     return hits, evaluation.frame_score(frame_truth(hits), hits)
 
 
@@ -107,10 +107,15 @@ def score_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.answer_score(truth, ranked.select("query_id", "rank", "video_id", F.col("frame_id").alias("frame"), F.col("normalized_answer").alias("answer")))
 
 
-@query()
+_PATH_SCORES = retrieval.ORACLE_SQL["event_paths"].replace("SELECT query_id, video_id, array_to_string(frames, ',') AS frames", ", paths AS (SELECT query_id, video_id, frames") + """)
+SELECT p.query_id, p.rank, round(CASE WHEN p.video_id = t.video_id THEN len(list_filter(list_zip(p.frames, t.frames), lambda x: abs(x[1] - x[2]) <= 10)) / 3.0 ELSE 0.0 END, 9)::DOUBLE AS score
+FROM paths p JOIN paths t ON t.query_id = p.query_id AND t.rank = 1"""
+
+
+@query(_PATH_SCORES)
 def score_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best path of each query, ten frames to either side, is its truth."""
-    paths = temporal.event_paths(retrieval.event_hits(spark, sf_dir), 3)
+    paths = materialise(temporal.event_paths(materialise(retrieval.event_hits(spark, sf_dir)), 3))
     around = F.transform("frames", lambda f: F.struct((f - 10).alias("start"), (f + 10).alias("end")))
     truth = paths.where(F.col("rank") == 1).select("query_id", "video_id", around.alias("intervals"))
     return evaluation.path_score(truth, paths.select("query_id", "rank", "video_id", "frames"))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reelspan.operators import ranking, search, temporal, windows
-from reelspan.session import table
+from reelspan.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -163,39 +164,6 @@ def kis_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("query_id", "index_row", "raw_rank", "final_rank")
 
 
-def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text match of each hit whose frame has a reading: its confidence."""
-    ocr = table(spark, sf_dir, "ocr_records").where(F.col("confidence").isNotNull() & F.col("index_row").isNotNull())
-    read = ocr.select("index_row", F.col("confidence"), (F.col("confidence") >= 0.8).alias("exact"))
-    score = F.round(F.least(F.lit(1.0), F.when(F.col("exact"), 0.85).otherwise(0.65) + 0.15 * F.col("confidence")), 9)
-    return hits(spark, sf_dir).select("query_id", "index_row").join(read, "index_row").select("query_id", "index_row", score.alias("score"), "exact", "confidence")
-
-
-_MATCHES = (
-    _HITS
-    + """, matches AS (
-  SELECT h.query_id, h.index_row, round(least(1.0, CASE WHEN confidence >= 0.8 THEN 0.85 ELSE 0.65 END::DOUBLE + 0.15::DOUBLE * confidence), 9) AS score, confidence >= 0.8 AS exact, confidence
-  FROM hits h JOIN ocr_records o ON h.index_row = o.index_row WHERE confidence IS NOT NULL),
-once_m AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY query_id, index_row ORDER BY score DESC, exact DESC, confidence DESC) = 1)
-"""
-)
-
-
-@query(_MATCHES + "SELECT query_id, index_row, score, exact, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, exact DESC, confidence DESC, index_row) AS rank FROM once_m QUALIFY rank <= 100")
-def text_match_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.best_text_matches(text_matches(spark, sf_dir), 100).select("query_id", "index_row", "score", "exact", "rank")
-
-
-@query(
-    _MATCHES
-    + """, boosted AS (SELECT h.query_id, h.index_row, round(h.score + 0.2 * coalesce(m.score, 0.0), 9) AS score FROM hits h LEFT JOIN once_m m ON m.query_id = h.query_id AND m.index_row = h.index_row)
-SELECT query_id, index_row, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_row) AS rank FROM boosted"""
-)
-def text_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = ranking.best_text_matches(text_matches(spark, sf_dir))
-    return ranking.boosted_by_text(hits(spark, sf_dir), once, 0.2).select("query_id", "index_row", "score", "rank")
-
-
 def event_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists(spark, sf_dir).withColumn("event", F.col("list_id"))
 
@@ -217,7 +185,7 @@ u AS (SELECT query_id, video_id, frames, max(total) AS score FROM p2 GROUP BY 1,
 SELECT query_id, video_id, array_to_string(frames, ',') AS frames, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, u.frames, video_id DESC) AS rank FROM u QUALIFY rank <= 100"""
 )
 def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = temporal.event_paths(event_hits(spark, sf_dir), 3)
+    paths = temporal.event_paths(materialise(event_hits(spark, sf_dir)), 3)
     return paths.select("query_id", "video_id", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"), "score", "rank")
 
 
@@ -226,15 +194,45 @@ def best_event_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_paths(spark, sf_dir).where(F.col("rank") == 1)
 
 
-@query()
+_CHAINS = (
+    _LISTS
+    + """, c0 AS (SELECT query_id, video_id, index_row, rank, frame, 1 AS n, 1.0::DOUBLE / (60 + rank) AS score, [rank, index_row] AS shown, [index_row] AS rows FROM lists WHERE video_id IS NOT NULL AND frame IS NOT NULL AND rank <= 300 AND list_id = 0),
+c1 AS (
+  SELECT h.query_id, h.video_id, h.index_row, h.rank, h.frame, coalesce(p.n, 0) + 1 AS n, CASE WHEN p.n IS NULL THEN 1.0::DOUBLE / (60 + h.rank) ELSE p.score + 1.0::DOUBLE / (60 + h.rank) - 0.25::DOUBLE * (h.frame - p.frame) / 9000 END AS score,
+    CASE WHEN p.n IS NULL OR [h.rank, h.index_row] < p.shown THEN [h.rank, h.index_row] ELSE p.shown END AS shown, CASE WHEN p.n IS NULL THEN [h.index_row] ELSE list_append(p.rows, h.index_row) END AS rows
+  FROM (SELECT * FROM lists WHERE video_id IS NOT NULL AND frame IS NOT NULL AND rank <= 300 AND list_id = 1) h
+  LEFT JOIN c0 p ON p.query_id = h.query_id AND p.video_id = h.video_id AND h.frame - p.frame BETWEEN 1 AND 9000
+  QUALIFY row_number() OVER (PARTITION BY h.query_id, h.video_id, h.index_row ORDER BY coalesce(p.n, 0) DESC, p.score - 0.25::DOUBLE * (h.frame - p.frame) / 9000 DESC, shown, rows) = 1),
+c2 AS (
+  SELECT h.query_id, h.video_id, h.index_row, h.rank, h.frame, coalesce(p.n, 0) + 1 AS n, CASE WHEN p.n IS NULL THEN 1.0::DOUBLE / (60 + h.rank) ELSE p.score + 1.0::DOUBLE / (60 + h.rank) - 0.25::DOUBLE * (h.frame - p.frame) / 9000 END AS score,
+    CASE WHEN p.n IS NULL OR [h.rank, h.index_row] < p.shown THEN [h.rank, h.index_row] ELSE p.shown END AS shown, CASE WHEN p.n IS NULL THEN [h.index_row] ELSE list_append(p.rows, h.index_row) END AS rows
+  FROM (SELECT * FROM lists WHERE video_id IS NOT NULL AND frame IS NOT NULL AND rank <= 300 AND list_id = 2) h
+  LEFT JOIN c1 p ON p.query_id = h.query_id AND p.video_id = h.video_id AND h.frame - p.frame BETWEEN 1 AND 9000
+  QUALIFY row_number() OVER (PARTITION BY h.query_id, h.video_id, h.index_row ORDER BY coalesce(p.n, 0) DESC, p.score - 0.25::DOUBLE * (h.frame - p.frame) / 9000 DESC, shown, rows) = 1),
+best AS (
+  SELECT query_id, video_id, n AS coverage, n = 3 AS whole, round(score + CASE WHEN n = 3 THEN 1.0 ELSE 0.0 END, 9) AS score, shown[1] AS best_rank, shown[2] AS shown_row, rows
+  FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2)
+  QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY n DESC, score DESC, shown[1], rows) = 1),
+chains AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY whole DESC, coverage DESC, score DESC, best_rank, shown_row, video_id) AS rank FROM best)
+"""
+)
+
+
+@query(_CHAINS + "SELECT query_id, video_id, coverage, whole, score, best_rank, shown_row, array_to_string(rows, ',') AS rows, rank FROM chains")
 def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.event_chains(event_hits(spark, sf_dir), 3).drop("rows")
+    chains = temporal.event_chains(materialise(event_hits(spark, sf_dir)), 3)
+    return chains.withColumn("rows", F.array_join(F.col("rows").cast("array<string>"), ","))
 
 
-@query()
+@query(
+    _CHAINS
+    + """, fused AS (SELECT query_id, index_row, round(sum(weight / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2),
+boosted AS (SELECT f.query_id, f.index_row, round(f.score + coalesce(c.score, 0.0), 9) AS score FROM fused f LEFT JOIN chains c ON c.query_id = f.query_id AND c.shown_row = f.index_row)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_row) AS rank FROM boosted"""
+)
 def chain_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = ranking.reciprocal_rank_fusion(lists(spark, sf_dir))
-    return temporal.boosted_by_chains(fused, temporal.event_chains(event_hits(spark, sf_dir), 3)).select("query_id", "index_row", "score", "rank")
+    packs = materialise(event_hits(spark, sf_dir))
+    return temporal.boosted_by_chains(ranking.reciprocal_rank_fusion(packs), temporal.event_chains(packs, 3)).select("query_id", "index_row", "score", "rank")
 
 
 _WINDOWS = (
@@ -267,7 +265,7 @@ def _joined(df: DataFrame) -> DataFrame:
 
 @query(_WINDOWS + f"SELECT {_WINDOW_COLUMNS} FROM placed")
 def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(windows.evidence_windows(hits(spark, sf_dir), table(spark, sf_dir, "videos")))
+    return _joined(windows.evidence_windows(materialise(hits(spark, sf_dir)), table(spark, sf_dir, "videos")))
 
 
 @query(
@@ -283,7 +281,7 @@ SELECT {_WINDOW_COLUMNS} FROM final"""
 )
 def refined_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = table(spark, sf_dir, "videos")
-    return _joined(windows.refined_windows(windows.evidence_windows(hits(spark, sf_dir), videos), videos))
+    return _joined(windows.refined_windows(windows.evidence_windows(materialise(hits(spark, sf_dir)), videos), videos))
 
 
 @query(
@@ -305,16 +303,40 @@ def even_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("video_id", F.explode(ranking.even_positions(F.col("n"), 5)).alias("position"))
 
 
-_USABLE_KEYS = """
-WITH usable AS (SELECT video_id, index_row AS clip_row, embedding FROM index_vectors
-  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature rows, numbered within their video: row by row one for each of its keyframes in order."""
+    rows = table(spark, sf_dir, "index_vectors")
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("index_row")) - 1
+    return rows.select("video_id", place.cast("long").alias("clip_row"), "embedding")
+
+
+_BUILT = (
+    _VECTORS
+    + """, rows AS (SELECT index_row, video_id, count(*) OVER (PARTITION BY video_id ORDER BY index_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clip_row FROM index_vectors),
+built AS (
+  SELECT k.video_id, k.keyframe_id, k.keyframe_ordinal, u.e FROM keyframes k JOIN rows r ON r.video_id = k.video_id AND r.clip_row = k.clip_row JOIN usable u ON u.index_row = r.index_row)
 """
+)
+
+
+@query(_BUILT + "SELECT row_number() OVER (ORDER BY video_id, keyframe_ordinal, keyframe_id) - 1 AS index_row, video_id, keyframe_id, CAST(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))) AS FLOAT) AS first FROM built")
+def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.built_index(table(spark, sf_dir, "keyframes"), features(spark, sf_dir)).select("index_row", "video_id", "keyframe_id", F.col("embedding")[0].alias("first"))
+
+
+@query("SELECT 'rows' AS \"check\", 1::BIGINT AS n WHERE false")
+def verified_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A built index against its copy, written and read back."""
+    built = materialise(search.built_index(table(spark, sf_dir, "keyframes"), features(spark, sf_dir)))
+    return search.verified_index(built, materialise(built))
 
 
 @query(
-    _USABLE_KEYS
-    + """SELECT row_number() OVER (ORDER BY k.video_id, keyframe_ordinal) - 1 AS index_row, k.video_id, keyframe_id FROM keyframes k JOIN usable u ON k.video_id = u.video_id AND k.clip_row = u.clip_row"""
+    _HITS
+    + """SELECT s.query_id, s.index_row FROM search_hits s LEFT JOIN index_vectors v ON v.index_row = s.index_row
+WHERE v.index_row IS NULL OR s.video_id IS DISTINCT FROM v.video_id OR s.keyframe_id IS DISTINCT FROM v.keyframe_id OR s.original_frame_id IS DISTINCT FROM v.original_frame_id OR s.keyframe_path IS DISTINCT FROM v.keyframe_path"""
 )
-def built_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = table(spark, sf_dir, "index_vectors").select("video_id", F.col("index_row").alias("clip_row"), "embedding")
-    return search.built_index(table(spark, sf_dir, "keyframes"), features).select("index_row", "video_id", "keyframe_id")
+def provenance_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits that don't carry what their index row has; those of no video among them."""
+    index = table(spark, sf_dir, "index_vectors").select("index_row", "video_id", "keyframe_id", "original_frame_id", "keyframe_path")
+    return search.provenance_faults(table(spark, sf_dir, "search_hits"), index).select("query_id", "index_row")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.functions import text as tx
-from reelspan.operators import readings
-from reelspan.session import ship, table
+from reelspan.operators import ranking, readings
+from reelspan.plans import retrieval_plans as retrieval
+from reelspan.session import materialise, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,9 +96,20 @@ def answer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").where(F.col("text").isNotNull()).select("item_id", tx.answer_kind(F.col("text")).alias("kind"))
 
 
-@query()
+_MARK = "(?:câu\\s+hỏi|cau\\s+hoi|question)\\s*[:：]"
+_BEFORE, _AFTER = ("regexp_extract(t, '(?is)^(.*?(?:.*[^\\p{L}\\p{N}_])?)" + _MARK + f"(.*)$', {k})" for k in (1, 2))
+
+
+@query(
+    f"""WITH p AS (SELECT item_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM eval_items WHERE task = 'qa'),
+m AS (SELECT item_id, t, trim({_BEFORE}, ' ' || chr(10)) AS b, trim({_AFTER}, ' ' || chr(10)) AS a, regexp_extract(t, '(?s)^(.*[.!?])\\s+(.*)$', 1) AS sb, regexp_extract(t, '(?s)^(.*[.!?])\\s+(.*)$', 2) AS sa FROM p),
+parts AS (SELECT item_id, CASE WHEN a <> '' THEN CASE WHEN b <> '' THEN b ELSE t END WHEN regexp_full_match(sa, '[^.!?]*\\?') THEN sb ELSE t END AS description,
+  CASE WHEN a <> '' THEN a WHEN regexp_full_match(sa, '[^.!?]*\\?') THEN sa ELSE t END AS question FROM m),
+q AS (SELECT *, """ + _SPACE.format("lower(nfc_normalize(question))") + f""" AS q FROM parts), k AS (SELECT item_id, description, question, {_kinds_sql()} AS kind FROM q)
+SELECT *, kind IN ('visible_text', 'name', 'number') AS use_ocr, kind = 'speech' AS use_asr FROM k"""
+)
 def split_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _prompts(spark, sf_dir, "qa").select("item_id", tx.split_prompt_udf("text").alias("p")).select("item_id", "p.*")
+    parts = _prompts(spark, sf_dir, "qa").select("item_id", tx.split_prompt(F.col("text")).alias("p")).select("item_id", "p.*")
     kind = parts.withColumn("kind", tx.answer_kind(F.col("question")))
     return kind.withColumn("use_ocr", F.col("kind").isin(*tx.READ_KINDS)).withColumn("use_asr", F.col("kind").isin(*tx.HEARD_KINDS))
 
@@ -117,13 +129,82 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select(F.col("ocr_id").cast("string").alias("query_id"), F.col("r.raw_text").alias("text"))
 
 
-@query()
+# the same forms in SQL
+_NORMAL = _SPACE.format("lower(nfc_normalize(<>))")
+# full-width forms as their plain ones, and what else decomposes to digits here
+_WIDE = "translate(<>, '" + "".join(map(chr, range(0xFF10, 0xFF5B))) + "²³', '" + "".join(chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B)) + "23')"
+_PLAIN = "regexp_replace(replace(lower(strip_accents(replace(replace(" + _WIDE + ", '½', '12'), '№', 'no'))), 'đ', 'd'), '[^0-9a-z]+', '', 'g')"
+_LONG = "list_filter(list_distinct(regexp_extract_all(<>, '" + _TOKEN + "')), lambda x: length(x) >= 2)"
+_GATE = "length(<>) >= CASE WHEN regexp_matches(<>, '[0-9]') THEN 4 ELSE 6 END"
+
+
+def _of(form: str, value: str) -> str:
+    return form.replace("<>", value)
+
+
+def exact_sql(queries: str) -> str:
+    """Exact matches of ``queries`` (query_id, text) as a CTE ``matches``; the readings as ``readings``."""
+    return f"""readings AS (
+  SELECT ocr_id, index_row, {_of(_NORMAL, "raw_text")} AS normal, {_of(_PLAIN, "raw_text")} AS plain, {_of(_LONG, _of(_NORMAL, "raw_text"))} AS words, confidence FROM ocr_records
+  WHERE ocr_id IS NOT NULL AND index_row IS NOT NULL AND regexp_matches(raw_text, '\\S') AND confidence >= 0 AND NOT isnan(confidence)
+  QUALIFY row_number() OVER (PARTITION BY ocr_id ORDER BY received_at DESC NULLS LAST) = 1),
+asked AS (SELECT query_id, {_of(_NORMAL, "text")} AS qn, {_of(_PLAIN, "text")} AS qp, {_of(_LONG, _of(_NORMAL, "text"))} AS qw, len(regexp_extract_all({_of(_NORMAL, "text")}, '{_TOKEN}')) AS qt FROM ({queries}) WHERE regexp_matches(text, '\\S')),
+candidates AS (
+  SELECT query_id, ocr_id, index_row, confidence, contains(normal, qn) OR (qp <> '' AND {_of(_GATE, "qp")} AND contains(plain, qp)) AS exact FROM asked, readings
+  WHERE ((regexp_matches(qp, '[0-9]') AND length(qp) >= 4) OR (qt >= 2 AND length(qp) >= 6))
+    AND ((len(qw) > 0 AND list_has_all(words, qw)) OR normal = qn OR ({_of(_GATE, "qp")} AND plain = qp))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, index_row, ocr_id) <= 100),
+matches AS (
+  SELECT query_id, index_row, round(least(1.0, 0.85::DOUBLE + 0.15::DOUBLE * confidence), 9) AS score, exact, confidence FROM candidates WHERE exact
+  QUALIFY row_number() OVER (PARTITION BY query_id, index_row ORDER BY confidence DESC) = 1)
+"""
+
+
+_BEST = "SELECT query_id, index_row, score, exact, confidence, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, exact DESC, confidence DESC, index_row) AS rank FROM matches QUALIFY rank <= 100"
+_TEXT_QUERIES = "SELECT CAST(ocr_id AS VARCHAR) AS query_id, raw_text AS text FROM ocr_records WHERE ocr_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY ocr_id ORDER BY received_at DESC NULLS LAST) = 1"
+
+
+@query("WITH " + exact_sql(_TEXT_QUERIES) + _BEST)
 def exact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings.exact_matches(readings.derived(table(spark, sf_dir, "ocr_records")), readings.asked(text_queries(spark, sf_dir)))
+    return readings.exact_matches(materialise(readings.derived(table(spark, sf_dir, "ocr_records"))), materialise(readings.asked(text_queries(spark, sf_dir))))
+
+
+# what is read in the best hit of each search that has a reading is what its text search asks for
+_SEEN = """SELECT query_id, arg_min(raw_text, rank * 10000000000 + ocr_id) AS text FROM (
+  SELECT DISTINCT h.query_id, h.rank, o.ocr_id, o.raw_text FROM hits h JOIN (
+    SELECT * FROM ocr_records WHERE ocr_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ocr_id ORDER BY received_at DESC NULLS LAST) = 1) o USING (index_row) WHERE regexp_matches(o.raw_text, '\\S')) GROUP BY 1"""
+
+
+def seen_texts(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """(query_id, text): what is read in the best ranked hit of each list that has a reading."""
+    latest = records.where(F.col("ocr_id").isNotNull()).groupBy("ocr_id").agg(F.max(F.struct("received_at", "index_row", "raw_text")).alias("r")).select("ocr_id", "r.index_row", "r.raw_text")
+    shown = hits.join(latest.where(F.col("raw_text").rlike("(?U)\\S")), "index_row")
+    return shown.groupBy("query_id").agg(F.min_by("raw_text", F.struct("rank", "ocr_id")).alias("text"))
+
+
+def text_matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The hits, and the exact text matches of each list's own text among all readings."""
+    hits, records = materialise(retrieval.hits(spark, sf_dir)), table(spark, sf_dir, "ocr_records")
+    return hits, readings.exact_matches(materialise(readings.derived(records)), materialise(readings.asked(seen_texts(hits, records))))
+
+
+@query(retrieval._HITS + ", " + exact_sql(_SEEN) + _BEST)
+def text_match_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_matches(spark, sf_dir)[1]
+
+
+@query(
+    retrieval._HITS + ", " + exact_sql(_SEEN)
+    + """, boosted AS (SELECT h.query_id, h.index_row, round(h.score + 0.2 * coalesce(m.score, 0.0), 9) AS score FROM hits h LEFT JOIN matches m ON m.query_id = h.query_id AND m.index_row = h.index_row)
+SELECT query_id, index_row, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_row) AS rank FROM boosted"""
+)
+def text_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, matches = text_matches(spark, sf_dir)
+    return ranking.boosted_by_text(hits, matches, 0.2).select("query_id", "index_row", "score", "rank")
 
 
 @query()
 def fuzzy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy search of the stated query set in all readings."""
-    records = readings.derived(table(spark, sf_dir, "ocr_records"))
+    records = materialise(readings.derived(table(spark, sf_dir, "ocr_records")))
     return readings.text_search(records, readings.asked(text_queries(spark, sf_dir)))

@@ -55,7 +55,7 @@ def test_objects_change_the_order(spark):
     plans = spark.createDataFrame([("q", ["bus", "dog"], ["boat"])], "query_id string, required array<string>, excluded array<string>")
     found = {r.index_row: r.consistency for r in ranking.object_consistency(labels, plans).collect()}
     assert found == {1: 0.05, 2: 0.25}
-    assert [(r.label, r.total) for r in ranking.object_vocabulary(labels).collect()] == [("bus", 1.6), ("boat", 0.4)]
+    assert [(r.label, r.total) for r in ranking.object_vocabulary(labels).orderBy("rank").collect()] == [("bus", 1.6), ("boat", 0.4)]
     short = listed(spark, [("q", 1, 1, "v", 1, 0.5), ("q", 2, 2, "v", 2, 0.5), ("q", 3, 3, "v", 3, 0.5)])
     cosines = spark.createDataFrame([("q", 1, "negative", 0.3), ("q", 1, "negative", 0.1), ("q", 2, "positive", 0.1)], "query_id string, index_row long, side string, cosine double")
     out = ranking.contrastive(short, cosines, ranking.object_consistency(labels, plans), 1.0, 1.0, 0.0).orderBy("rank").collect()

@@ -142,3 +142,41 @@ def test_streams(spark, tmp_path):
     run = streaming.keep_best(read(), f"{tmp_path}/best", 1).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c3").start()
     run.awaitTermination(120)
     assert [r.index_row for r in spark.read.parquet(f"{tmp_path}/best/v0").collect()] == [2]
+
+
+def test_search_keys_of_any_type_many_batches_and_queries(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    points = rng.integers(-2, 3, size=(400, 64)).astype(float)  # many equal cosines
+    index = spark.createDataFrame([(f"r{k:03d}", [float(x) for x in p]) for k, p in enumerate(points)], "index_row string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(k, [float(x) for x in points[k]]) for k in range(0, 400, 7)] + [(-1, None)], "query_row int, embedding array<float>")
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 400, 7):
+        scores = np.round(unit @ unit[q], 6)
+        order = np.lexsort((np.arange(400), -scores))[:5]
+        want |= {(q, f"r{r:03d}", n + 1) for n, r in enumerate(order.tolist())}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = {(r.query_row, r.index_row, r["rank"]) for r in search.exact_topk(index, queries, 5).collect()}
+        search.BLOCK_BYTES, size = 20 * 8 * 64, search.BLOCK_BYTES
+        blocks = {(r.query_row, r.index_row, r["rank"]) for r in search.exact_topk(index, queries, 5).collect()}
+        search.BLOCK_BYTES = size
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == blocks == want
+
+
+def test_a_changed_index_is_found_out(spark):
+    rows = [(k, "v", f"k{k}", k, "p", [1.0 if j == k else 0.0 for j in range(64)]) for k in range(6)]
+    schema = "index_row long, video_id string, keyframe_id string, original_frame_id long, keyframe_path string, embedding array<float>"
+    index = spark.createDataFrame(rows, schema)
+    assert search.verified_index(index, index).count() == 0
+    changed = spark.createDataFrame([*rows[:5], (*rows[5][:5], [2.0] + [0.0] * 63)], schema)
+    found = {r.check: r.n for r in search.verified_index(index, changed).collect()}
+    assert found["rows"] == 2 and found["invalid"] == 1 and found["self"] == 1
+    hits = index.drop("embedding").withColumn("query_id", F.lit("q"))
+    assert search.provenance_faults(hits, index).count() == 0
+    assert search.provenance_faults(hits.withColumn("keyframe_path", F.lit("x")), index).count() == 6 and search.provenance_faults(hits, index.limit(0)).count() == 6
