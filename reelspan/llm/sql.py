@@ -16,6 +16,17 @@ ranked AS (
 ORACLE_SQL["p4_found"] = _HITS + "SELECT video_id, query_id, index_row FROM ranked WHERE rank <= 10"
 ORACLE_SQL["p4_ranked_hits"] = _HITS + "SELECT video_id, query_id, index_row, score, rank FROM ranked WHERE rank <= 10"
 
+_NEAREST = """
+WITH usable AS (
+  SELECT index_row, any_value(embedding::DOUBLE[]) AS e FROM index_vectors
+  WHERE index_row IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+scored AS (SELECT a.index_row, b.index_row AS neighbour, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM usable a, usable b WHERE a.index_row <> b.index_row),
+best AS (SELECT *, row_number() OVER (PARTITION BY index_row ORDER BY similarity DESC, neighbour) AS rank FROM scored WHERE similarity >= 0.85 QUALIFY rank <= 5)
+"""
+# all pairs; the query gives the same on one partition and nearly the same on many
+ORACLE_SQL["p2_neighbours"] = _NEAREST + "SELECT * FROM best"
+ORACLE_SQL["p2_found"] = _NEAREST + "SELECT DISTINCT least(index_row, neighbour) AS row_a, greatest(index_row, neighbour) AS row_b FROM best"
+
 _S = ("retrieval_score", "support_score", "agreement_score", "joint_score")
 _CLEAN = ", ".join(f"max(CASE WHEN isnan({s}) THEN NULL ELSE {s} END) AS {s}" for s in _S)
 _PLACES = ", ".join(
