@@ -85,8 +85,8 @@ def _named_places(container: Column, prefix: Column, slim: bool) -> Column:
 def _json(text: Column) -> Column:
     """A text as a variant; null if it isn't valid JSON from end to end."""
     # as the one element of a list, so that nothing may follow the value
-    whole = F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(text, "^\\s*\\ufeff+", ""), F.lit("]")))
-    return F.when(F.size(_list(whole)) == 1, F.try_variant_get(whole, "$[0]", "variant"))
+    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(text, "^\\s*\\ufeff+", ""), F.lit("]"))), "$", "array<variant>")
+    return F.get(F.filter(F.array(whole), lambda values: F.size(values) == 1), F.lit(0))[0]
 
 
 #: Only a payload that begins with a quotation mark can be JSON in a string.
@@ -104,35 +104,32 @@ def _wraps(payload: Column) -> Column:
     return F.when(payload.rlike(_QUOTED), F.coalesce(F.array_max(each), F.lit(0)) + 2).otherwise(0)
 
 
-def wrapping(df: DataFrame, payload: str) -> int:
-    """How often, at most, a payload of the table wraps JSON in strings; one pass over the rows."""
-    return int(df.agg(F.max(_wraps(F.col(payload)))).first()[0] or 0)
+def _unwrapped(value: Column) -> Column:
+    """The JSON that a JSON string holds; any other value as it is."""
+    holds = F.try_variant_get(value, "$", "array<variant>").isNull() & F.try_variant_get(value, "$", "map<string,variant>").isNull()
+    return F.when(holds, _json(F.try_variant_get(value, "$", "string"))).otherwise(value)
 
 
-def parsed(df: DataFrame, payload: str, wraps: int | None = None) -> DataFrame:
+def parsed(df: DataFrame, payload: str) -> DataFrame:
     """Add ``root``: the payload as a variant, null if it isn't valid JSON. Of repeated keys the last counts.
 
-    ``wraps``: how often JSON is wrapped in strings at most, measured if not given.
-    Sets ``spark.sql.variant.allowDuplicateKeys``, without which repeated keys are
-    no JSON.
+    JSON in strings is unwrapped in a fold, as often as the payload at hand may
+    need. Sets ``spark.sql.variant.allowDuplicateKeys``, without which repeated
+    keys are no JSON.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    wraps = wrapping(df, payload) if wraps is None else wraps
-    df = df.withColumn("root", _json(F.col(payload)))
-    for _ in range(wraps):
-        inner = F.try_variant_get("root", "$", "string")
-        text = F.col(payload).rlike(_QUOTED) & F.try_variant_get("root", "$", "array<variant>").isNull() & F.try_variant_get("root", "$", "map<string,variant>").isNull()
-        df = df.withColumn("root", F.when(text, _json(inner)).otherwise(F.col("root")))
-    return df
+    text = F.col(payload)
+    steps = F.sequence(F.lit(1), _wraps(text).cast("int"))
+    inner = F.aggregate(steps, _json(text), lambda value, _: _unwrapped(value))
+    return df.withColumn("root", F.when(text.rlike(_QUOTED), inner).otherwise(_json(text)))
 
 
-def latest_records(df: DataFrame, key: str, payload: str, received: str, wraps: int | None = None) -> DataFrame:
+def latest_records(df: DataFrame, key: str, payload: str, received: str) -> DataFrame:
     """(record, received, payload, root): the latest row of each record."""
-    wraps = wrapping(df, payload) if wraps is None else wraps
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("record"), F.col(received).alias("received"), F.col(payload).alias("payload"))
     latest = Window.partitionBy("record").orderBy(F.col("received").desc_nulls_last(), F.xxhash64("payload").desc())
     once = rows.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") == 1).drop("_n")
-    return parsed(once, "payload", wraps)
+    return parsed(once, "payload")
 
 
 def _levels(records: DataFrame, depth: int, slim: bool = False) -> DataFrame:
@@ -168,12 +165,11 @@ def unnested(df: DataFrame, key: str = "object_id", payload: str = "payload", re
     greater.
     """
     names = F.regexp_count(F.col(payload), F.lit("(?:" + "|".join(KIDS) + ")[\\\\]*\""))
-    wraps, most = df.agg(F.max(_wraps(F.col(payload))), F.max(names)).first()
-    wraps, most = int(wraps or 0), int(most or 0)
-    records = latest_records(df, key, payload, received, wraps)
+    most = int(df.agg(F.max(names)).first()[0] or 0)
+    records = latest_records(df, key, payload, received)
     while most > depth:
         # every level is asked for: were only the last one, the optimizer would fold all of them into one expression
-        deep = _levels(parsed(df.where(names > depth).select(F.col(payload).alias("payload")), "payload", wraps), depth + 1, True)
+        deep = _levels(parsed(df.where(names > depth).select(F.col(payload).alias("payload")), "payload"), depth + 1, True)
         sizes = deep.agg(*[F.max(F.size(f"level{k}")).alias(f"n{k}") for k in range(depth + 2)]).first()
         if not sizes[f"n{depth + 1}"]:
             break

@@ -104,7 +104,7 @@ def plain_detections(df: DataFrame, key: str = "object_id", payload: str = "payl
 
     Detections without label are left out; payloads with any warning have none.
     """
-    records = _warned(latest_records(df, key, payload, received)).where(F.size("warnings") == 0)
+    records = _warned(latest_records(df, key, payload, received))
     root = F.col("root")
     text = lambda v: F.lower(F.trim(F.regexp_replace(F.try_variant_get(v, "$", "string"), "(?U)\\s+", " ")))
     named = _list(root, "detection_class_names")
@@ -122,6 +122,8 @@ def plain_detections(df: DataFrame, key: str = "object_id", payload: str = "payl
 
     scores = F.try_variant_get(root, "$.detection_scores", "array<variant>")
     found = F.when(scores.isNotNull(), F.transform(scores, parallel)).otherwise(F.transform(own, listed))
+    # no filter: pushed below the projections it would have the warnings, and all they are made of, worked out twice
+    found = F.when(F.size("warnings") == 0, found)
     return records.select("record", F.inline(found)).where(F.size("labels") > 0)
 
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.operators import audit, objects, ranking
+from reelspan.operators import audit, objects, ranking, search
 from reelspan.plans import retrieval_plans as retrieval
-from reelspan.session import table
+from reelspan.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,44 +114,46 @@ def payload_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.payload_shapes(table(spark, sf_dir, "object_records"))
 
 
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, index_row, label, score): the detections of the hits' keyframes."""
+def labels(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    """(query_id, index_row, label, score): the detections of the keyframes of the hits; only the objects of those are read."""
+    rows = table(spark, sf_dir, "index_vectors").select("index_row", "video_id", "keyframe_id").join(hits.select("index_row").distinct(), "index_row", "left_semi")
     records = table(spark, sf_dir, "object_records").where(F.col("object_id").isNotNull())
     placed = records.groupBy("object_id").agg(F.max(F.struct("received_at", "video_id", "keyframe_id")).alias("r")).select("object_id", "r.video_id", "r.keyframe_id")
-    found = objects.plain_detections(table(spark, sf_dir, "object_records")).join(placed, F.col("record") == F.col("object_id"))
-    each = found.select("video_id", "keyframe_id", F.explode("labels").alias("label"), F.col("score").alias("confidence"))
-    rows = table(spark, sf_dir, "index_vectors").select("index_row", "video_id", "keyframe_id")
-    hits = retrieval.hits(spark, sf_dir).select("query_id", "index_row")
-    return each.join(rows, ["video_id", "keyframe_id"]).join(hits, "index_row").select("query_id", "index_row", "label", F.col("confidence").alias("score"))
+    shown = materialise(placed.join(rows, ["video_id", "keyframe_id"]).select("object_id", "index_row"))
+    found = objects.plain_detections(records.join(shown.select("object_id").distinct(), "object_id", "left_semi"))
+    each = found.select(F.col("record").alias("object_id"), F.explode("labels").alias("label"), "score").join(shown, "object_id")
+    return materialise(hits.select("query_id", "index_row").join(each.select("index_row", "label", "score"), "index_row"))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(retrieval.hits(spark, sf_dir))
 
 
 @query()
 def object_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.object_vocabulary(labels(spark, sf_dir))
+    """Of every query's list the labels that its frames show most."""
+    return ranking.object_vocabulary(labels(spark, sf_dir, _hits(spark, sf_dir)))
 
 
-def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = retrieval.hits(spark, sf_dir).select("query_id").distinct()
+def consistency(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    plans = hits.select("query_id").distinct()
     plans = plans.select("query_id", F.array(F.lit("person"), F.lit("bus")).alias("required"), F.array(F.lit("boat")).alias("excluded"))
-    return ranking.object_consistency(labels(spark, sf_dir), plans)
+    return ranking.object_consistency(labels(spark, sf_dir, hits), plans)
 
 
 @query()
 def object_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistency(spark, sf_dir)
+    return consistency(spark, sf_dir, _hits(spark, sf_dir))
 
 
 @query()
 def contrastive_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty best of each query against the vectors of its first and last hit."""
-    from reelspan.operators import search
-
-    short = retrieval.hits(spark, sf_dir).where(F.col("rank") <= 20)
-    unit = search.unit_rows(table(spark, sf_dir, "index_vectors"))
-    ends = short.groupBy("query_id").agg(F.min_by("index_row", "rank").alias("positive"), F.max_by("index_row", "rank").alias("negative"))
+    """Every list against the vectors of its first and last hit. Only the vectors of hits are read into the pairs."""
+    hits = _hits(spark, sf_dir)
+    vectors = table(spark, sf_dir, "index_vectors").where(F.col("embedding").isNotNull()).select("index_row", F.col("embedding").alias("v"))
+    ends = hits.groupBy("query_id").agg(F.min_by("index_row", "rank").alias("positive"), F.max_by("index_row", "rank").alias("negative"))
     sides = ends.select("query_id", F.expr("stack(2, 'positive', positive, 'negative', negative) as (side, row)"))
-    sides = sides.join(unit.select(F.col("index_row").alias("row"), F.col("unit").alias("side_unit")), "row")
-    pairs = short.select("query_id", "index_row").join(unit, "index_row").join(sides, "query_id")
-    dot = F.aggregate(F.zip_with("unit", "side_unit", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    cosines = pairs.select("query_id", "index_row", "side", F.round(dot, 6).alias("cosine"))
-    return ranking.contrastive(short, cosines, consistency(spark, sf_dir), 0.4, 0.3, 0.2).select("query_id", "index_row", "score", "base_rank", "rank")
+    sides = sides.join(vectors.select(F.col("index_row").alias("row"), F.col("v").alias("side_v")), "row").select("query_id", "side", "side_v")
+    pairs = hits.select("query_id", "index_row").join(vectors, "index_row").join(sides, "query_id")
+    cosines = pairs.select("query_id", "index_row", "side", F.round(search.cosine("v", "side_v"), 6).alias("cosine")).where(F.col("cosine").isNotNull())
+    return ranking.contrastive(hits, cosines, consistency(spark, sf_dir, hits), 0.4, 0.3, 0.2).select("query_id", "index_row", "score", "base_rank", "rank")
