@@ -51,6 +51,8 @@ ENDS = re.compile(r"[.!?;\u2026\u3002\uff01\uff1f\uff1b][\"'\u201d\u2019)\]]*$")
 EVENT = re.compile(r"E\d+[:\uff1a]", re.IGNORECASE)
 #: Stands for the end of a line.
 LINE = "\x02"
+#: So many documents are scored together.
+PART_DOCUMENTS = 500
 
 
 class SentenceTokens(Tokens):
@@ -401,18 +403,20 @@ def assign(documents: DataFrame, rules: Rules, document_id: str = "doc_id", text
         areas = shared.value.areas
         number = scorer.number
         tokens = SentenceTokens(1, lambda word: number.get(word, 0))
-        for batch in batches:
-            flat, lengths = [], []
-            for body in batch.column(1).to_pylist():
-                found = tokens.of(body)
-                flat += found
-                lengths.append(len(found))
-            counts, sums = scorer.shares(np.array(flat, dtype=np.int64), np.array(lengths, dtype=np.int64))
-            where, which = np.nonzero((counts > 0) & (counts >= share * sums[:, None]))
-            if len(where):
-                keys = batch.column(0)
-                columns = [pa.array([areas[k] for k in which.tolist()]), keys.take(pa.array(where)), pa.array(counts[where, which]), pa.array(sums[where])]
-                yield pa.RecordBatch.from_arrays(columns, names=[area, document_id, "n_sentences", "n_with_area"])
+        for whole in batches:
+            # a part at a time: what a part needs is small beside the batch
+            for low in range(0, whole.num_rows, PART_DOCUMENTS):
+                batch = whole.slice(low, PART_DOCUMENTS)
+                flat, lengths = [], []
+                for body in batch.column(1).to_pylist():
+                    found = tokens.of(body)
+                    flat += found
+                    lengths.append(len(found))
+                counts, sums = scorer.shares(np.array(flat, dtype=np.int64), np.array(lengths, dtype=np.int64))
+                where, which = np.nonzero((counts > 0) & (counts >= share * sums[:, None]))
+                if len(where):
+                    columns = [pa.array([areas[k] for k in which.tolist()]), batch.column(0).take(pa.array(where)), pa.array(counts[where, which]), pa.array(sums[where])]
+                    yield pa.RecordBatch.from_arrays(columns, names=[area, document_id, "n_sentences", "n_with_area"])
 
     usable = documents.where(F.col(document_id).isNotNull() & F.col(text).isNotNull()).select(document_id, text)
     return usable.mapInArrow(run, f"`{area}` {area_type}, `{document_id}` {kind}, n_sentences bigint, n_with_area bigint")
