@@ -7,15 +7,18 @@ query. What fails falls back to the plain list, as each step says.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspan.functions.text import TextFault, parse_query_plan
+from reelspan.functions.text import TextFault, baseline_plan, parse_query_plan
 from reelspan.operators import ranking, temporal
 from reelspan.operators.config import HybridConfig, RerankerConfig
+from reelspan.session import materialise, ship
 
 
 @dataclass(frozen=True)
@@ -94,6 +97,88 @@ def hybrid(
     return fused, Outcome(True, len(lists), text_applied, temporal_applied, False)
 
 
+def planned(queries: DataFrame, load: Callable[[], Callable[[str], str]], config: HybridConfig, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """(query_id, fallback, exact, lists): the plans of a set of queries (query_id, text).
+
+    The planner is loaded once in each worker. A query whose plan fails, breaks
+    its contract or comes too late falls back to its own text alone. ``lists``:
+    (list_id, weight, depth, event, text, exact_text).
+    """
+    ship(queries.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planner = load() if config.enabled else None
+        for batch in batches:
+            out = []
+            for key, query in zip(batch.query_id, batch.text, strict=True):
+                began, fallback = clock(), False
+                plan = baseline_plan(query)
+                if planner is not None:
+                    try:
+                        plan = parse_query_plan(planner(query), query)
+                    except Exception:  # noqa: BLE001 - whatever a planner raises, the query is searched as it is
+                        fallback = True
+                    if clock() - began > config.planner_seconds:
+                        plan, fallback = baseline_plan(query), True
+                lists = [{"list_id": i, "weight": w, "depth": d, "event": e, "text": t, "exact_text": None if e is None else plan["events"][e][1]} for i, _, w, d, e, t in plan_lists(plan, config)]
+                out.append((key, fallback, plan["exact_texts"], lists))
+            yield pd.DataFrame(out, columns=["query_id", "fallback", "exact", "lists"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    usable = queries.where(F.col("query_id").isNotNull() & F.col("text").rlike("(?U)\\S")).dropDuplicates(["query_id"]).select("query_id", "text")
+    return usable.mapInPandas(run, f"query_id {kind}, fallback boolean, exact array<string>, lists array<struct<list_id:int,weight:double,depth:int,event:int,text:string,exact_text:string>>")
+
+
+def hybrid_set(
+    plans: DataFrame,
+    search: Callable[[DataFrame], DataFrame],
+    config: HybridConfig,
+    text_matches: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The ranked lists of a set of planned queries: (query_id, index_row, video_id, frame, score, rank, fused).
+
+    ``search`` gives (query_id, list_id, rank, index_row, video_id, frame, score)
+    for (query_id, list_id, depth, text); ``text_matches`` gives (query_id,
+    exact_text, rank, index_row, video_id, frame, score) for (query_id,
+    exact_text). Queries with one list and no text match keep the score of that
+    list (``fused`` false); the others are fused, completed by text matches, and
+    those of two events and more are boosted by their chains; a query whose
+    events name an exact text only if there are text matches to look in.
+    """
+    wanted = materialise(plans.select("query_id", F.size("exact").alias("n_exact"), F.inline("lists")))
+    found = search(wanted.select("query_id", "list_id", "depth", "text"))
+    hits = materialise(found.join(wanted.drop("text"), ["query_id", "list_id"]).where(F.col("rank") <= F.col("depth")))
+    columns = ["query_id", "list_id", "weight", "rank", "index_row", "video_id", "frame"]
+    every, read = hits.select(*columns), None
+    if config.ocr_enabled and text_matches is not None:
+        read = materialise(text_matches(plans.select("query_id", F.explode("exact").alias("exact_text"))))
+        best = read.groupBy("query_id", "index_row", "video_id", "frame").agg(F.max("score").alias("score"))
+        added = ranking.placed(best, [F.col("score").desc(), F.col("index_row")], config.ocr_depth)
+        every = every.unionByName(added.select("query_id", F.lit(-1).alias("list_id"), F.lit(config.ocr_weight).alias("weight"), "rank", "index_row", "video_id", "frame"))
+    lists = wanted.groupBy("query_id").agg(F.count("*").alias("n_lists"), F.max("n_exact").alias("n_exact"), F.count("event").alias("n_events"), F.max(F.col("exact_text").isNotNull()).alias("needs_text"), F.max_by("exact_text", F.coalesce("event", F.lit(-1))).isNotNull().alias("ends_in_text"))
+    lists = materialise(lists.withColumn("with_text", (F.col("n_exact") > 0) & F.lit(read is not None)))
+    fused = ranking.reciprocal_rank_fusion(every, config.rrf_k)
+    if config.temporal_enabled:
+        events = hits.where(F.col("event").isNotNull())
+        columns = ["query_id", "event", "rank", "index_row", "video_id", "frame"]
+        seen = events.where(F.col("exact_text").isNull()).select(*columns)
+        if read is not None:
+            # an event with an exact text is where that text is read
+            named = wanted.where(F.col("exact_text").isNotNull()).select("query_id", "event", "exact_text")
+            seen = seen.unionByName(named.join(read, ["query_id", "exact_text"]).select(*columns))
+        able = lists.where((F.col("n_events") >= 2) & (F.col("with_text") | ~F.col("needs_text")))
+        chains = []
+        for n in range(2, temporal.MAX_EVENTS + 1):
+            for final in (False, True):
+                some = seen.join(able.where((F.col("n_events") == n) & (F.col("ends_in_text") == final)).select("query_id"), "query_id", "left_semi")
+                chains.append(temporal.event_chains(some, n, config.max_frame_gap, penalty=config.gap_penalty, bonus=config.full_bonus, prefer_final=final, depth=config.auxiliary_depth))
+        fused = temporal.boosted_by_chains(fused, reduce(DataFrame.unionByName, chains), config.boost_weight)
+    plain = lists.where((F.col("n_lists") == 1) & ~F.col("with_text")).select("query_id")
+    names = ["query_id", "index_row", "video_id", "frame", "score", "rank"]
+    whole = fused.join(plain, "query_id", "left_anti").select(*names, F.lit(True).alias("fused"))
+    return whole.unionByName(hits.join(plain, "query_id", "left_semi").select(*names, F.lit(False).alias("fused")))
+
+
 class Reranker:
     """Runs a re-ranking within its budget; after one overrun it stays off."""
 
@@ -109,8 +194,11 @@ class Reranker:
             return hits, "open"
         began = self.clock()
         try:
-            found = self.rerank(hits)
-            same = found.select("query_id", "index_row").exceptAll(hits.select("query_id", "index_row")).isEmpty() and hits.select("query_id", "index_row").exceptAll(found.select("query_id", "index_row")).isEmpty()
+            found = materialise(self.rerank(hits))
+            key = F.xxhash64("query_id", "index_row").cast("decimal(38,0)")
+            mark = lambda df: df.agg(F.count("*"), F.count_distinct("query_id", "index_row"), F.sum(key)).first()
+            bad = found.where(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == F.lit(float("inf"))))
+            same = mark(found) == mark(hits) and bad.isEmpty()
         except Exception:  # noqa: BLE001 - whatever a plug-in raises, the list stays
             return hits, "failed"
         if self.clock() - began > self.config.budget_seconds:

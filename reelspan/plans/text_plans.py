@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from reelspan.functions import encoders
 from reelspan.functions import text as tx
-from reelspan.operators import ranking, readings
+from reelspan.operators import answers, hybrid, ranking, readings, search, windows
+from reelspan.operators.config import HybridConfig
 from reelspan.plans import retrieval_plans as retrieval
 from reelspan.session import materialise, ship, table
 
@@ -208,3 +212,89 @@ def fuzzy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy search of the stated query set in all readings."""
     records = materialise(readings.derived(table(spark, sf_dir, "ocr_records")))
     return readings.text_search(records, readings.asked(text_queries(spark, sf_dir)))
+
+
+def _engine():
+    """A stand-in: it picks a frame by the question's length, and fails on some windows."""
+
+    def answer(question: str, description: str, frames) -> str:
+        if frames[0] % 7 == 0:
+            raise ValueError("unclear")
+        return f"{len(question) % len(frames)}\tAbout {len(description)}"
+
+    return answer
+
+
+def qa_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The qa prompts, dealt to the lists in turn, and the evidence windows of the lists."""
+    hits = materialise(retrieval.hits(spark, sf_dir))
+    items = _prompts(spark, sf_dir, "qa").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("p"), "text")  # a fixed table of few prompts
+    number = F.regexp_extract("query_id", r"(\d+)", 1).cast("long")
+    prompts = hits.select("query_id").distinct().crossJoin(items.agg(F.count("*").alias("n"))).select("query_id", (number % F.col("n")).alias("p")).join(items, "p").select("query_id", "text")
+    return prompts, materialise(windows.evidence_windows(hits, table(spark, sf_dir, "videos")))
+
+
+_QA = retrieval._WINDOWS.replace("WITH RECURSIVE once", "WITH RECURSIVE " + ORACLE_SQL["split_prompts"].split("WITH ", 1)[1].split("q AS (SELECT *, ")[0] + "once") + """,
+numbered AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS p, count(*) OVER () AS n FROM parts),
+asked AS (SELECT w.*, question, description FROM placed w JOIN numbered ON CAST(regexp_extract(w.query_id, '(\\d+)', 1) AS BIGINT) % n = p),
+hypo AS (SELECT query_id, video_id, samples[length(question) % len(samples) + 1] AS frame_id, 'about ' || length(description) AS normalized_answer, score AS joint_score FROM asked WHERE samples[1] % 7 <> 0),
+best AS (SELECT query_id, video_id, frame_id, normalized_answer, max(joint_score) AS joint_score FROM hypo GROUP BY 1, 2, 3, 4)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY joint_score DESC, video_id, frame_id, normalized_answer) AS rank FROM best QUALIFY rank <= 100"""
+
+
+@query(_QA)
+def qa_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of a stand-in engine from the windows of every list."""
+    prompts, seen = qa_inputs(spark, sf_dir)
+    return answers.answered(prompts, seen, _engine).drop("raw_answer")
+
+
+@query()
+def qa_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every qa prompt."""
+    prompts, seen = qa_inputs(spark, sf_dir)
+    found = materialise(answers.hypotheses(prompts, seen, _engine))
+    return answers.outcomes(prompts, seen, found, windows.ranked_answers(found))
+
+
+def _encoded(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("embedding", encoders.encoder_udf(lambda: encoders.hash_encoder(64))("text"))
+
+
+def _search(spark: SparkSession, sf_dir: str, texts: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """Hits of texts under their keys, by the stand-in encoder, in all rows."""
+    index = table(spark, sf_dir, "index_vectors")
+    asked = _encoded(texts).select(F.to_json(F.struct(*keys)).alias("key"), "embedding")
+    kinds = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys)
+    hits = search.exact_topk(index, asked, depth, query="key").select(F.from_json("key", kinds).alias("k"), "index_row", "score", "rank").select("k.*", "index_row", "score", "rank")
+    return hits.join(index.select("index_row", "video_id", F.col("original_frame_id").alias("frame")), "index_row")
+
+
+@query()
+def retrieved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of the ordered-event prompts, each event searched for by a stand-in encoder."""
+    prompts = _prompts(spark, sf_dir, "trake").select(F.col("item_id").alias("query_id"), "text")
+    return answers.retrieved_paths(prompts, lambda events: _search(spark, sf_dir, events, ["query_id", "event"], 100))
+
+
+def _planner():
+    """A stand-in: the parts of a request are its clauses and, of two and more, its events; it fails on long requests."""
+
+    def plan(text: str) -> str:
+        parts = list(dict.fromkeys(p.strip()[:200] for p in tx.composed(text).split(". ") if p.strip()))[:3]
+        if len(text) > 600:
+            return "not a plan"
+        events = [{"visual": p, "exact_text": None} for p in parts] if len(parts) > 1 else []
+        return json.dumps({"holistic_visual": parts[0], "visual_clauses": parts, "ordered_events": events, "exact_texts": []})
+
+    return plan
+
+
+@query()
+def hybrid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval for all search requests at once, by a stand-in planner and encoder."""
+    config = HybridConfig(enabled=True)
+    requests = _prompts(spark, sf_dir, "kis").select(F.col("item_id").alias("query_id"), "text")
+    plans = materialise(hybrid.planned(requests, _planner, config))
+    depth = max(config.raw_depth, config.auxiliary_depth)
+    return hybrid.hybrid_set(plans, lambda texts: _search(spark, sf_dir, texts, ["query_id", "list_id"], depth), config).select("query_id", "index_row", "score", "rank", "fused")
