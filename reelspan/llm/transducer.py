@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
 from itertools import permutations
@@ -129,6 +130,10 @@ def _compiled(tables: list[dict[str, str]]) -> dict[str, str]:
     return made
 
 
+#: Characters that many texts hold and that never change: Latin letters and signs, punctuation, superscripts and fractions.
+ORDINARY = "\u0020-\u007e\u00a1-\u024f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u2070-\u209c\u20ab-\u20ac\u2116\u2122\u2150-\u2189"
+
+
 #: What a character is to the word it stands in: of no word, of a word but no letter, a letter that looks like another.
 BREAK, NEUTRAL, LOOK = "break", "neutral", "look"
 
@@ -174,8 +179,9 @@ class Transducer:
         self._fixed = len(self.plain)
         changing = [c for c, s in self.begin.items() if self.latin[s] != c] + list(self.joins)
         #: a class of the characters that a text must hold one of to be changed
-        self.touched = "[" + _ranges(changing) + "]"
-        self._touched = re.compile(self.touched)
+        self._touched = re.compile("[" + _ranges(changing) + "]")
+        #: the same for the JVM, of few ranges: they hold rare characters besides, but no ordinary ones
+        self.touched = "[\\x{80}-\\x{10FFFF}&&[" + _ranges(changing, ORDINARY) + "]]"
 
     def _compile(self) -> None:
         """A transition for every letter and accent that are one character together; so accents that can be joined in turn are followed in turn."""
@@ -315,14 +321,20 @@ def _codes(char_class: str) -> list[int]:
     return found
 
 
-def _ranges(chars: list[str]) -> str:
-    """The characters as ranges of a class, in a form that both Python and the JVM read."""
+def _ranges(chars: list[str], ordinary: str | None = None) -> str:
+    """The characters as ranges of a class, in a form that both Python and the JVM read.
+
+    With ``ordinary`` a range goes on over what lies between two characters
+    unless one of these does.
+    """
     codes = sorted(set(map(ord, chars)))
+    apart = sorted(set(_codes(ordinary)) - set(codes)) if ordinary else []
     name = lambda c: f"\\u{c:04x}" if c < 0x10000 else chr(c)
     out, low = [], None
     for k, code in enumerate(codes):
         low = code if low is None else low
-        if k + 1 == len(codes) or codes[k + 1] != code + 1:
+        follows = k + 1 < len(codes) and (codes[k + 1] == code + 1 if ordinary is None else bisect_right(apart, code) == bisect_right(apart, codes[k + 1]))
+        if not follows:
             out.append(name(low) + (f"-{name(code)}" if code > low else ""))
             low = None
     return "".join(out)
